@@ -27,8 +27,39 @@ def op2_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed_rules"))
+
+
+def op4_discriminant_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .qualityclf import classify
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(id_bucket("doc_id", 3) != 1)
+    out = classify(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    held = F.coalesce(id_bucket("doc_id", 3) == 1, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_suffix_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ppm_language_id, op2_bottom_k_near_dedup)}
+    return {f.__name__: f for f in (
+        op1_ppm_language_id, op2_bottom_k_near_dedup, op3_adaptive_quality_rules, op4_discriminant_quality,
+        op5_tournament_packing, op6_suffix_automaton_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
