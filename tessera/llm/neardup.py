@@ -39,6 +39,8 @@ from . import textops as tx
 from .common import components, stash
 
 K, CAP, PIVOTS, SHINGLE = 64, 48, 32, 5
+#: Pairs of full sets in one Arrow batch.
+VERIFY_ROWS = 200
 NUM, DEN = 75, 100
 MISS = 1e-8
 SKETCH = "struct<n:int,fp1:long,fp2:long,sketch:array<long>>"
@@ -179,7 +181,7 @@ def _long_links(full: DataFrame, sizes: DataFrame, links: DataFrame, sets: DataF
     long = full.join(sizes.where(F.col("m") > CAP).select("v"), "v")
     order = Window.partitionBy("v").orderBy("h", "rep")
     pivots = long.withColumn("h", F.xxhash64("rep")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("v", "rep", "n")
-    found = stash(_links(_pairs(pivots, long), sets), "links")
+    found = stash(_links(_pairs(pivots, long), sets), "links", VERIFY_ROWS)
     # Members outside a long list's main group meet all its other members.
     groups = components(links.union(found))
     placed = long.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -188,7 +190,7 @@ def _long_links(full: DataFrame, sizes: DataFrame, links: DataFrame, sets: DataF
     rest = _pairs(open_.where("component <> main"), open_)
     side = open_.select("rep", "component").distinct()
     rest = rest.join(side.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(side.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb").select("a", "b")
-    return found.union(stash(_links(rest, sets), "links"))
+    return found.union(stash(_links(rest, sets), "links", VERIFY_ROWS))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -208,12 +210,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = texts.select("rep", "n", "m", F.col("fp1").alias("f1"), F.col("fp2").alias("f2"), F.arrow_udf(full_set, FULL_SET)("text").alias("s"))
     sets = texts.where("f1 = s.fp1 AND f2 = s.fp2").select("rep", "n", "m", "s.items", "f1", "f2").dropDuplicates(["rep", "f1", "f2"])
     sets = stash(sets, "sets")
-    links = stash(_links(_small_pairs(lists, sizes), sets), "links")
+    links = stash(_links(_small_pairs(lists, sizes), sets), "links", VERIFY_ROWS)
     # Long lists: exact prefixes of the full sets of the texts on them.
     hot = sets.where(F.col("m") > CAP).select("rep", "n", "items")
     full = _prefixes(hot.select(F.explode("items").alias("v"), "rep", "n", F.size("items").alias("k")), _full_prefix)
     full_sizes = stash(_sizes(full), "sizes")
-    links = links.union(stash(_links(_small_pairs(full, full_sizes), sets), "links"))
+    links = links.union(stash(_links(_small_pairs(full, full_sizes), sets), "links", VERIFY_ROWS))
     if full_sizes.where(F.col("m") > CAP).limit(1).count():
         links = links.union(_long_links(full, full_sizes, links, sets))
     # An id on rows with different texts joins their classes.
