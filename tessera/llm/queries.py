@@ -55,12 +55,94 @@ def op6_suffix_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlrules import judge, mine
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return judge(pages, mine(pages.join(labels, "page_id").select("url", "bad")))
+
+
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op9_no_random_access_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return top_k(rows, F.col("id") % 50 == 0, 5)
+
+
+def op10_three_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "lines.n_lines", "lines.n_removed", F.md5("text").alias("kept_md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ppm_language_id, op2_bottom_k_near_dedup, op3_adaptive_quality_rules, op4_discriminant_quality,
-        op5_tournament_packing, op6_suffix_automaton_dedup,
+        op5_tournament_packing, op6_suffix_automaton_dedup, op7_association_url_filter, op8_temperature_mixing,
+        op9_no_random_access_topk, op10_three_line_dedup,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+#: DuckDB SQL for the operators that it can express, on the same tables.
+SQL = {
+    "op2_bottom_k_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM words),
+        items AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS x FROM sets),
+        pairs AS MATERIALIZED (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        edges AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+        reach AS (SELECT doc_id AS node, doc_id AS low FROM documents
+            UNION SELECT e.b, r.low FROM reach r JOIN edges e ON e.a = r.node WHERE r.low < e.b),
+        comp AS (SELECT node, min(low) AS component_id FROM reach GROUP BY node),
+        class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS c FROM sets)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept,
+            CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE k.c END AS class_id
+        FROM sets s JOIN comp c ON c.node = s.doc_id JOIN class k ON k.doc_id = s.doc_id""",
+    "op6_suffix_automaton_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50),
+        windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM starts),
+        firsts AS (SELECT h, min(doc_id) AS f FROM windows GROUP BY h),
+        gone AS (SELECT doc_id, list(i) AS s FROM windows JOIN firsts USING (h) WHERE f < doc_id GROUP BY doc_id),
+        covered AS (SELECT doc_id, list_distinct(flatten(list_transform(s, lambda i: range(i, i + 50)))) AS c FROM gone),
+        left_ AS (SELECT words.doc_id, len(w) AS n, coalesce(len(c), 0) AS r,
+            CASE WHEN c IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string(list_select(w, list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(c, i)))), ' '), '') END AS kept
+            FROM words LEFT JOIN covered USING (doc_id))
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM left_""",
+    "op9_no_random_access_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_three_line_dedup": """
+        WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+        starts AS (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM lines WHERE text IS NOT NULL AND len(l) >= 3),
+        windows AS (SELECT doc_id, i, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS h FROM starts WHERE trim(l[i] || l[i + 1] || l[i + 2], ' ') <> ''),
+        ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM windows),
+        gone AS (SELECT doc_id, list_distinct(flatten(list([i, i + 1, i + 2]))) AS c FROM ranked WHERE r > 1 GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(c), 0) AS BIGINT) AS n_removed,
+            md5(CASE WHEN c IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(c, i)), lambda i: l[i]), chr(10)), '') END) AS kept_md5
+        FROM lines LEFT JOIN gone USING (doc_id)""",
+}
