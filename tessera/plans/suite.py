@@ -1,19 +1,296 @@
-"""Registry of the relational and vector queries with their SQL."""
+"""Registry of the relational and vector queries with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import exprs, vectors
+from ..functions.aggs import aggregate
+from ..operators import dml, joins, knn
+from ..sources.tables import table
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL where that can express it."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Spark SQL in which {name} stands for a table."""
+    from string import Formatter
+
+    names = {x for _, x, _, _ in Formatter().parse(sql) if x}
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+
+
+def both(name: str, sql: str) -> None:
+    """A query that is plain SQL in either engine."""
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run_sql(spark, sf_dir, sql)
+
+    f.__name__ = name
+    _QUERIES[name] = f
+    _SQL[name] = sql.replace("{", "").replace("}", "")
+
+
+L2 = lambda a, b: f"round(sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))), 5)"
+DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+
+
+@query("""SELECT c_mktsegment, count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(avg(l_quantity), 4) AS avg_qty,
+    min(l_discount) AS min_disc, max(l_tax) AS max_tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    WHERE l_quantity > 10 AND o_orderstatus = 'F' GROUP BY c_mktsegment HAVING count(*) > 1""")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter, three-way join, group, five aggregates, HAVING."""
+    line = table(spark, sf_dir, "lineitem").where("l_quantity > 10")
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    rows = line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    out = rows.groupBy("c_mktsegment").agg(
+        aggregate("count", "*").alias("n"), F.round(aggregate("sum", "l_extendedprice"), 2).alias("total"), F.round(aggregate("avg", "l_quantity"), 4).alias("avg_qty"),
+        aggregate("min", "l_discount").alias("min_disc"), aggregate("max", "l_tax").alias("max_tax"))
+    return out.where("n > 1")
+
+
+# Scans, predicates, scalar expressions.
+both("scan_all_columns", "SELECT * FROM {nation}")
+both("scan_filter_and", "SELECT l_orderkey, l_linenumber, l_quantity FROM {lineitem} WHERE l_quantity >= 10 AND l_discount < 0.05 AND l_returnflag = 'R'")
+both("cmp_all_ops", """SELECT CAST(sum(CASE WHEN l_quantity = 10 THEN 1 ELSE 0 END) AS BIGINT) AS eq, CAST(sum(CASE WHEN l_quantity <> 10 THEN 1 ELSE 0 END) AS BIGINT) AS ne,
+    CAST(sum(CASE WHEN l_quantity < 10 THEN 1 ELSE 0 END) AS BIGINT) AS lt, CAST(sum(CASE WHEN l_quantity <= 10 THEN 1 ELSE 0 END) AS BIGINT) AS le,
+    CAST(sum(CASE WHEN l_quantity > 10 THEN 1 ELSE 0 END) AS BIGINT) AS gt, CAST(sum(CASE WHEN l_quantity >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS ge FROM {lineitem}""")
+both("filter_or", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P' OR o_totalprice > 300000")
+both("filter_range_scan", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderkey >= 100 AND o_orderkey < 500")
+both("point_lookup", "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_orderkey = 7")
+both("project_arith", "SELECT l_orderkey, l_linenumber, l_linenumber + 1 AS plus, l_linenumber - 3 AS minus, l_linenumber * l_orderkey AS times, -l_linenumber AS neg, (l_linenumber + 2) * 3 - 1 AS nested FROM {lineitem}")
+both("expr_predicates", "SELECT s_suppkey FROM {supplier} WHERE s_suppkey - 2 > s_nationkey + 1 AND s_suppkey * 2 < 150")
+both("qualified_star", "SELECT n.* FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey WHERE r.r_name = 'ASIA'")
+both("date_range", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS d FROM {orders} WHERE CAST(o_orderdate AS DATE) >= DATE '1995-01-01' AND CAST(o_orderdate AS DATE) < DATE '1995-04-01'")
+both("date_compare_text", "SELECT count(*) AS n FROM {orders} WHERE CAST(o_orderdate AS DATE) > CAST('1996-2-1' AS DATE)")
+both("int_float_compare", "SELECT count(*) AS n FROM {lineitem} WHERE l_linenumber > 1.5 AND l_linenumber <= 4.0")
+both("constant_false", "SELECT o_orderkey FROM {orders} WHERE o_orderkey > 0 AND 1 = 0")
+both("constant_true", "SELECT r_name FROM {region} WHERE 1 = 1")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_linenumber - 2) < 1e-6 THEN 3.4028234663852886e38 ELSE CAST(l_orderkey AS DOUBLE) / (l_linenumber - 2) END AS q FROM lineitem")
+def div_saturating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", exprs.div_sat(F.col("l_orderkey"), F.col("l_linenumber") - 2).alias("q"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <> 2 AND CAST(l_orderkey AS DOUBLE) / (l_linenumber - 2) > 100")
+def div_null_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").where(exprs.div_null(F.col("l_orderkey"), F.col("l_linenumber") - 2) > 100).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT c_custkey FROM customer WHERE abs(c_acctbal - round(c_acctbal, 0)) < 1e-6")
+def float_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").where(exprs.eps_eq(F.col("c_acctbal"), F.round("c_acctbal", 0))).select("c_custkey")
+
+
+@query("SELECT p_partkey, substr(p_name, 1, 4) AS name4, p_brand FROM part")
+def char_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", exprs.char_trunc(F.col("p_name"), 4).alias("name4"), "p_brand")
+
+
+@query("SELECT c_custkey, coalesce(TRY_CAST(nullif(regexp_extract(substr(c_name, 10), '^\\s*([+-]?(\\d+(\\.\\d*)?|\\.\\d+))', 1), '') AS DOUBLE), 0.0) + 4 AS x FROM customer")
+def string_to_num(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", (exprs.str_to_num(F.substring("c_name", 10, 99)) + 4).alias("x"))
+
+
+@query("SELECT l_returnflag, CASE WHEN s LIKE '%.00' THEN left(s, len(s) - 3) WHEN s LIKE '%0' THEN left(s, len(s) - 1) ELSE s END AS text FROM (SELECT l_returnflag, printf('%.2f', round(sum(l_quantity), 2)) AS s FROM lineitem GROUP BY l_returnflag)")
+def float_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_quantity"), 2).alias("s")).select("l_returnflag", exprs.fmt_num(F.col("s")).alias("text"))
+
+
+@query("SELECT 1.5 AS a, 3.4028234663852886e38 AS b, 127.0 AS c, 4.0 AS d, -7.0 AS e")
+def calc_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .statements import calc
+
+    return spark.range(1).select(*[F.lit(float(calc(x))).alias(n) for n, x in (("a", "3/2"), ("b", "20/0"), ("c", '"123"+4'), ("d", '"abc"+4'), ("e", "-(3+4)*1"))])
+
+
+# Aggregation.
+both("scalar_agg_all", "SELECT count(*) AS n, count(l_tax) AS n_tax, CAST(sum(l_linenumber) AS BIGINT) AS s, round(avg(l_quantity), 4) AS a, min(l_shipdate) AS lo, max(l_shipdate) AS hi, min(l_returnflag) AS lo_flag FROM {lineitem}")
+both("scalar_agg_empty", "SELECT count(*) AS n, CAST(sum(o_custkey) AS DOUBLE) AS s, max(o_totalprice) AS m FROM {orders} WHERE o_orderkey < 0")
+both("group_single", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM {orders} GROUP BY o_orderstatus")
+both("group_multi", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 6) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
+both("group_expr", "SELECT l_linenumber + 1 AS k, CAST(sum(l_linenumber) + sum(l_linenumber) AS BIGINT) AS s FROM {lineitem} GROUP BY l_linenumber + 1")
+both("group_date", "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS d, count(*) AS n FROM {orders} GROUP BY CAST(o_orderdate AS DATE)")
+both("agg_arith", "SELECT l_linenumber, CAST(sum(l_orderkey) + l_linenumber + 1 AS BIGINT) AS s, round(max(l_tax) - min(l_tax), 6) AS spread FROM {lineitem} GROUP BY l_linenumber")
+both("group_having", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 12 AND o_custkey > 3")
+both("group_having_hidden_agg", "SELECT o_custkey FROM {orders} GROUP BY o_custkey HAVING sum(o_totalprice) > 2000000")
+both("group_over_join", "SELECT n_name, count(*) AS n, round(avg(c_acctbal), 2) AS a FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name")
+both("distinct_select", "SELECT DISTINCT l_returnflag, l_linestatus FROM {lineitem}")
+both("distinct_range", "SELECT DISTINCT p_size FROM {part} WHERE p_size BETWEEN 5 AND 20 ORDER BY p_size")
+both("count_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n FROM {lineitem} GROUP BY l_returnflag")
+both("sum_case", "SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f FROM {orders} GROUP BY o_orderpriority")
+
+# Joins.
+both("cross_join_filtered", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation} WHERE r_regionkey < 2 AND n_nationkey < 5")
+both("equi_join_where", "SELECT s_suppkey, n_name FROM {supplier}, {nation} WHERE s_nationkey = n_nationkey")
+both("inner_join_3way", "SELECT c_custkey, n_name, r_name FROM {customer} INNER JOIN {nation} ON c_nationkey = n_nationkey INNER JOIN {region} ON n_regionkey = r_regionkey WHERE c_acctbal > 5000")
+both("inner_join_on_and", "SELECT o_orderkey, l_linenumber FROM {orders} INNER JOIN {lineitem} ON o_orderkey = l_orderkey AND l_quantity > 45 AND o_totalprice > 100000")
+both("theta_join", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM {nation} a INNER JOIN {nation} b ON a.n_nationkey > b.n_nationkey AND a.n_regionkey < b.n_regionkey")
+both("join_on_true", "SELECT a.r_regionkey AS x, b.r_regionkey AS y FROM {region} a INNER JOIN {region} b ON 1 = 1")
+both("join_empty", "SELECT s_suppkey, n_name FROM {supplier} INNER JOIN {nation} ON s_nationkey = n_nationkey AND n_nationkey < 0")
+both("six_way_join", """SELECT l_orderkey, l_linenumber, c_name, n_name, r_name, p_brand FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+    JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey JOIN {part} ON l_partkey = p_partkey WHERE l_quantity < 3 AND r_name = 'EUROPE'""")
+
+
+@query("SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")
+def hash_join_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    line = table(spark, sf_dir, "lineitem")
+    return joins.join(line, orders, line["l_orderkey"] == orders["o_orderkey"], rows=(10**6, 10**5)).select("o_orderkey", "l_linenumber", "l_quantity")
+
+
+# Order and limit.
+both("order_by_multi", "SELECT c_custkey, c_nationkey, c_acctbal FROM {customer} ORDER BY c_nationkey ASC, c_acctbal DESC, c_custkey")
+both("order_by_over_join", "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_totalprice > 200000 ORDER BY c_name DESC, o_orderkey")
+both("topk_limit", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM {lineitem} ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10")
+
+# Subqueries.
+both("in_subquery", "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 250000)")
+both("not_in_subquery", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders})")
+both("scalar_subquery_cmp", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT avg(o_totalprice) FROM {orders}) AND (SELECT min(o_custkey) FROM {orders}) < o_custkey")
+both("correlated_scalar", "SELECT o_orderkey FROM {orders} o WHERE o_totalprice > (SELECT avg(o2.o_totalprice) * 1.5 FROM {orders} o2 WHERE o2.o_custkey = o.o_custkey)")
+both("correlated_not_in", "SELECT s_suppkey FROM {supplier} s WHERE s_suppkey NOT IN (SELECT l_suppkey FROM {lineitem} l WHERE l.l_suppkey = s.s_suppkey AND l_quantity > 49.5)")
+both("nested_in", "SELECT n_name FROM {nation} WHERE n_nationkey IN (SELECT c_nationkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 280000))")
+both("nested_not_in", "SELECT n_name FROM {nation} WHERE n_nationkey NOT IN (SELECT c_nationkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice < 60000))")
+both("two_subqueries_compared", "SELECT r_name FROM {region} WHERE (SELECT max(c_acctbal) FROM {customer}) > (SELECT max(s_acctbal) FROM {supplier})")
+both("subquery_empty", "SELECT r_regionkey FROM {region} WHERE r_regionkey > (SELECT max(o_custkey) FROM {orders} WHERE 1 = 0) OR r_regionkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_custkey < 0)")
+
+
+@query("SELECT o.o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c.c_custkey = o.o_custkey AND n.n_regionkey = o.o_orderkey % 5)")
+def two_level_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NOT IN whose inner query refers to the outermost row, as an anti join (all columns are non-null)."""
+    inner = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey")
+    orders = table(spark, sf_dir, "orders")
+    return orders.join(inner, (F.col("c_custkey") == F.col("o_custkey")) & (F.col("n_regionkey") == F.col("o_orderkey") % 5), "left_anti").select("o_orderkey")
+
+
+# Nulls.
+both("null_compare", "SELECT c_custkey FROM {customer} WHERE CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END <> 100 AND c_custkey < 200")
+both("is_null_checks", "SELECT count(*) AS n FROM {customer} WHERE CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END IS NULL AND c_name IS NOT NULL AND NULL IS NULL")
+both("count_nulls", "SELECT count(*) AS n, count(x) AS nx, round(avg(x), 2) AS a, min(x) AS lo FROM (SELECT CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS x FROM {customer})")
+both("null_join_keys", "SELECT count(*) AS n FROM (SELECT CASE WHEN s_nationkey < 5 THEN NULL ELSE s_nationkey END AS k FROM {supplier}) JOIN {nation} ON k = n_nationkey")
+both("null_group", "SELECT CAST(CASE WHEN s_nationkey < 5 THEN NULL ELSE s_nationkey END AS DOUBLE) AS k, count(*) AS n FROM {supplier} GROUP BY CASE WHEN s_nationkey < 5 THEN NULL ELSE s_nationkey END")
+
+
+# Changes, as the rows that a table has afterwards.
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'none' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer")
+def update_cow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dml.update_frame(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), {"c_mktsegment": "'none'"}, "c_acctbal < 0")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN s_acctbal + 10 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def update_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dml.update_frame(table(spark, sf_dir, "supplier"), {"s_acctbal": "s_acctbal + 10"}, "s_nationkey = 3").select("s_suppkey", "s_acctbal")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice < 100000)")
+def delete_cow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dml.delete_frame(table(spark, sf_dir, "orders"), "o_orderstatus = 'F' AND o_totalprice < 100000").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT * FROM (VALUES (5, 'MOON'), (6, 'MARS')) AS t(r_regionkey, r_name)")
+def insert_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region").union(spark.createDataFrame([(5, "MOON"), (6, "MARS")], "r_regionkey int, r_name string"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'purchase'")
+def latest_wins_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (F.col("event_type") == "purchase").alias("gone"))
+    return dml.latest_by_key(log, "user_id", "event_id", "gone").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+
+
+# Vectors.
+FIRST = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+
+
+def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector beside vector 0, which is one row."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.join(F.broadcast(e.where("vec_id = 0").limit(1).select(F.col("embedding").alias("q"))))
+
+
+@query(f"SELECT vec_id, {L2('embedding', FIRST)} AS d FROM embeddings")
+def vec_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first(spark, sf_dir).select("vec_id", F.round(vectors.l2_distance(F.col("embedding"), F.col("q")), 5).alias("d"))
+
+
+@query(f"SELECT vec_id, round({DOT('embedding', FIRST)}, 5) AS d FROM embeddings")
+def vec_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first(spark, sf_dir).select("vec_id", F.round(vectors.inner_product(F.col("embedding"), F.col("q")), 5).alias("d"))
+
+
+@query(f"SELECT vec_id, round(1 - {DOT('embedding', FIRST)} / (sqrt({DOT('embedding', 'embedding')}) * sqrt({DOT(FIRST, FIRST)})), 5) + 0.0 AS d FROM embeddings WHERE vec_id > 0")
+def vec_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first(spark, sf_dir).where("vec_id > 0").select("vec_id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("q")), 5).alias("d"))
+
+
+@query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) + CAST(embedding[1] AS DOUBLE) AS plus, 0.0 AS minus, CAST(embedding[64] AS DOUBLE) * CAST(embedding[64] AS DOUBLE) AS times FROM embeddings")
+def vec_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding").cast("array<double>")
+    op = lambda o: vectors.elementwise(o, v, v)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.get(op("+"), 0).alias("plus"), F.get(op("-"), 5).alias("minus"), F.get(op("*"), 63).alias("times"))
+
+
+@query("SELECT a.vec_id AS x FROM embeddings a WHERE a.embedding > (SELECT embedding FROM embeddings WHERE vec_id = 0)")
+def vec_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first(spark, sf_dir).where("embedding > q").select(F.col("vec_id").alias("x"))
+
+
+@query("SELECT 1 AS id, 3.0 AS dim, 6.0 AS total")
+def vec_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors.parse(F.lit("[1,2,3]"), 3)
+    return spark.range(1).select(F.lit(1).alias("id"), F.size(v).cast("double").alias("dim"), F.aggregate(v.cast("array<double>"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+#: A fixed query vector, made from a rule.
+PROBE = [((7 * i) % 11 - 5) / 20 for i in range(64)]
+_PROBE_SQL = "[" + ", ".join(map(str, PROBE)) + "]"
+
+
+@query(f"SELECT vec_id, {L2('embedding', _PROBE_SQL)} AS d FROM embeddings ORDER BY {L2('embedding', _PROBE_SQL).replace(', 5)', ', 12)')}, vec_id LIMIT 10")
+def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return knn.exact(rows, "embedding", PROBE, 10, key="vec_id").select("vec_id", F.round("distance", 5).alias("d"))
+
+
+@query()
+def ivf_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate nearest neighbours of every 50th vector through an index of clusters (no SQL: k-means)."""
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or ("file://" + tempfile.mkdtemp(prefix="tessera-") if sc.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir"))
+    rows = table(spark, sf_dir, "embeddings")
+    index = knn.IvfIndex.build(rows, "embedding", 16, f"{base.rstrip('/')}/ivf-{uuid.uuid4().hex}")
+    return index.search_many(rows.where("vec_id % 50 = 0"), "vec_id", "embedding", 5, 6, "vec_id")
