@@ -11,7 +11,7 @@ values as a pair at the threshold needs to meet (``_needed``), so a passage that
 many texts share proposes nothing unless a text consists mostly of it.  Lists up
 to ``CAP`` long propose all their pairs.  Texts on longer lists are looked up once
 more by the rarest part of their full sets, which is exact; what still meets in
-long lists is compared with ``PIVOTS`` members each, and after that only members
+long lists is compared with ``PIVOTS`` members of ``LISTS`` of its lists, and after that only members
 that are not yet connected to the list's main group meet all others.
 
 Links are those of the full sets of 64-bit hashes of 5-word shingles.  A pair at
@@ -31,16 +31,18 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textops as tx
 from .common import components, stash
 
-K, CAP, PIVOTS, SHINGLE = 64, 48, 32, 5
+K, CAP, PIVOTS, LISTS, SHINGLE = 64, 48, 8, 4, 5
 #: Pairs of full sets in one Arrow batch.
 VERIFY_ROWS = 200
+#: Sets of members and of askers in one block of a long list.
+MEMBERS, OUTSIDERS = 2048, 512
 NUM, DEN = 75, 100
 MISS = 1e-8
 SKETCH = "struct<n:int,fp1:long,fp2:long,sketch:array<long>>"
@@ -132,12 +134,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(values: DataFrame, prefix) -> DataFrame:
     """(v, rep, n, k) values of each text to those of its rarest ``prefix(n, k)`` that two texts hold,
-    as (v, rep, n, m), m the list's length. Values of one text only come first and are not moved."""
+    as (v, rep, n, u), u the number of its values that no other text holds. Those come first and are not moved."""
     counts = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     held = values.join(counts, "v")
     one = held.groupBy("rep", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
     length = F.greatest(F.lit(0), prefix(F.col("n"), F.col("k")) - (F.col("k") - F.size("held")))
-    lists = one.select("rep", "n", F.explode(F.slice("held", F.lit(1), length.cast("int"))).alias("x")).select(F.col("x.v").alias("v"), "rep", "n")
+    lists = one.select("rep", "n", (F.col("k") - F.size("held")).alias("u"), F.explode(F.slice("held", F.lit(1), length.cast("int"))).alias("x")).select(F.col("x.v").alias("v"), "rep", "n", "u")
     return stash(lists, "lists")
 
 
@@ -145,12 +147,18 @@ def _sizes(lists: DataFrame) -> DataFrame:
     return lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
 
 
+def _fit() -> Column:
+    """What sizes allow: neither set is too small for the other, and the values that only one text holds
+    at all, which cannot be shared, are few enough for a link."""
+    sizes = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
+    return sizes & ((F.col("ua") + F.col("ub")) * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM))
+
+
 def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs of the rows of two tables that share a list and whose sizes allow a link."""
-    x = x.select("v", F.col("rep").alias("a"), F.col("n").alias("na"))
-    y = y.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    fits = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
-    both = x.join(y, (x["v"] == y["v"]) & (F.col("a") != F.col("b")) & fits)
+    """Pairs of full sets that share a list and may be linked."""
+    x = x.select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"))
+    y = y.select(F.col("v").alias("w"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"))
+    both = x.join(y, (F.col("v") == F.col("w")) & (F.col("a") != F.col("b")) & _fit())
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -180,17 +188,66 @@ def _long_links(full: DataFrame, sizes: DataFrame, links: DataFrame, sets: DataF
     """Links among the members of long lists: enough of them to connect all that are connected."""
     long = full.join(sizes.where(F.col("m") > CAP).select("v"), "v")
     order = Window.partitionBy("v").orderBy("h", "rep")
-    pivots = long.withColumn("h", F.xxhash64("rep")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("v", "rep", "n")
-    found = stash(_links(_pairs(pivots, long), sets), "links", VERIFY_ROWS)
-    # Members outside a long list's main group meet all its other members.
+    pivots = long.withColumn("h", F.xxhash64("rep", "v")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("v", "rep", "n", "u")
+    few = long.groupBy("rep", "n", "u").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("v", "rep").alias("h"), "v"))), 1, LISTS).alias("l"))
+    few = few.select("rep", "n", "u", F.explode("l").alias("x")).select(F.col("x.v").alias("v"), "rep", "n", "u")
+    found = stash(_links(_pairs(pivots, few), sets), "links", VERIFY_ROWS)
+    # Members outside a long list's main group meet all its other members, in blocks.
     groups = components(links.union(found))
-    placed = long.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    main = placed.groupBy("v", "component").count().groupBy("v").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = stash(placed.join(main, "v"), "open")
-    rest = _pairs(open_.where("component <> main"), open_)
-    side = open_.select("rep", "component").distinct()
-    rest = rest.join(side.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(side.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb").select("a", "b")
-    return found.union(stash(_links(rest, sets), "links", VERIFY_ROWS))
+    placed = long.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("component"))
+    main = placed.groupBy("v", "component").count().groupBy("v").agg(
+        F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("m"), F.max("count").alias("most")).where("m > most")
+    open_ = placed.join(main, "v")
+    open_ = stash(open_.select("v", "rep", "component", (F.col("component") != F.col("main")).alias("outside"),
+        F.ceil(F.col("m") / MEMBERS).cast("int").alias("nm"), F.ceil((F.col("m") - F.col("most")) / OUTSIDERS).cast("int").alias("no")), "open")
+    own = open_.groupBy("rep").agg(F.array_sort(F.collect_list("v")).alias("lists"))
+    full_sets = own.join(sets.select("rep", "items"), "rep")
+    at = F.xxhash64("rep")
+    members = open_.select("v", "rep", "component", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("i"), F.pmod(at, F.col("nm")).cast("int").alias("j"))
+    askers = open_.where("outside").select("v", "rep", "component", F.lit(True).alias("asks"), F.pmod(at, F.col("no")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"))
+    blocks = members.union(askers).join(full_sets, "rep")
+    more = blocks.groupBy("v", "i", "j").applyInArrow(_meet, "a long, b long").distinct()
+    return found.union(stash(more, "links"))
+
+
+def _meet(block: pa.Table) -> pa.Table:
+    """Links between the askers and the members of a block of one list, of different groups: one for each
+    asker and group. A pair that shares several lists is compared in the first."""
+    block = block.combine_chunks()
+    asks = np.array(block.column("asks").to_pylist(), bool)
+    rep, group = block.column("rep").to_numpy(), block.column("component").to_numpy()
+    items, lists = block.column("items").chunk(0), block.column("lists").chunk(0)
+    at, values = items.offsets.to_numpy(), items.values.to_numpy()
+    sizes = np.diff(at)
+    own = [values[at[r] : at[r + 1]] for r in range(len(asks))]
+    # Which of the lists before this one each row stands on.
+    this = block.column("v")[0].as_py()
+    lat, lvalues = lists.offsets.to_numpy(), lists.values.to_numpy()
+    seen = np.unique(lvalues[lvalues < this])
+    on = np.zeros((len(asks), len(seen)), np.float32)
+    row = np.repeat(np.arange(len(asks)), np.diff(lat))
+    flat = lvalues[lat[0] : lat[-1]]
+    before = flat < this
+    on[row[before], np.searchsorted(seen, flat[before])] = 1
+    members, askers = np.flatnonzero(~asks), np.flatnonzero(asks)
+    everything = np.concatenate([own[r] for r in members]) if len(members) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(members)), sizes[members])
+    by = np.argsort(everything, kind="stable")
+    everything, owner = everything[by], owner[by]
+    a, b = [], []
+    for x in askers:
+        near = (on[members] @ on[x] == 0) & (group[members] != group[x])
+        if not near.any():
+            continue
+        lo, hi = np.searchsorted(everything, own[x], "left"), np.searchsorted(everything, own[x], "right")
+        n = hi - lo
+        hits = owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        shared = np.bincount(hits, minlength=len(members))
+        linked = np.flatnonzero(near & (DEN * shared >= NUM * (sizes[members] + sizes[x] - shared)))
+        for y in linked[np.unique(group[members[linked]], return_index=True)[1]]:
+            a.append(min(rep[x], rep[members[y]]))
+            b.append(max(rep[x], rep[members[y]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
