@@ -241,6 +241,7 @@ def matched_windows(docs: DataFrame) -> DataFrame:
     base = stash(base, "runs")
     flat = base.select(F.col("doc_id").alias("doc"), "rid", F.inline("runs"))
     shared = flat.groupBy("mz").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("mz")
+    shared = stash(shared, "minimizers")  # else the join keeps the sum's partitions and cannot split a hot one
     wanted = stash(flat.join(shared, "mz"), "shared")
     distinct = wanted.groupBy("mz", "h").agg(F.min(F.struct("doc", "rid", "at", "n")).alias("r"))
     distinct = distinct.select("mz", "h", "r.*")
