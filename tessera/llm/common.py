@@ -54,8 +54,8 @@ def id_bucket(doc_id: Column | str, n: int) -> Column:
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components of links (a, b): one row (node, component) for each node, component the
-    smallest node of its group.
+    """Connected components of links (a, b): (node, component) for each node but the smallest of its
+    group, which is the component.
 
     Alternating large-star and small-star steps: every step is a grouped minimum
     and an equi-join, so nothing is gathered in one task or on the driver, and a
