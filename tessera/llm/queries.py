@@ -129,6 +129,34 @@ SQL = {
             CASE WHEN c IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string(list_select(w, list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(c, i)))), ' '), '') END AS kept
             FROM words LEFT JOIN covered USING (doc_id))
         SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM left_""",
+    "op8_temperature_mixing": r"""
+        WITH RECURSIVE tok AS (
+            SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens,
+                md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+        src AS (SELECT source, count(*) AS docs, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM tok GROUP BY source),
+        sh AS (SELECT tokens / (SELECT sum(tokens) FROM src) AS p FROM src WHERE tokens > 0),
+        goal AS (SELECT 0.5 * (ln(count(*)) - sum(p * ln(p))) AS g, min(p) AS least FROM sh),
+        bisect(i, lo, hi) AS (
+            SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+            UNION ALL
+            SELECT i + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END FROM (
+                SELECT i, lo, hi, (lo + hi) / 2 AS mid, (
+                    SELECT ln(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * ln(p)) / sum(pow(p, (lo + hi) / 2)) <= max(g) + 1e-12
+                        AND pow(max(least), (lo + hi) / 2 - 1) / sum(pow(p, (lo + hi) / 2)) <= 4 + 1e-12
+                    FROM sh, goal) AS ok
+                FROM bisect WHERE i < 45)),
+        expo AS (SELECT round(hi, 8) AS a FROM bisect WHERE i = 45),
+        plan AS (
+            SELECT source, docs, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM src), (SELECT a FROM expo)) / (SELECT sum(pow(p, a)) FROM sh, expo) ELSE 0 END AS weight,
+                tokens / (SELECT sum(tokens) FROM src) AS p FROM src),
+        dealt AS (
+            SELECT doc_id, tok.source, n_tokens, d, round(weight, 9) AS weight, CASE WHEN p > 0 THEN round(weight / p, 9) ELSE 1.0 END AS epochs,
+                CAST('0x' || substr(d, 1, 8) AS BIGINT) % CAST(ceil(docs / 4096) AS BIGINT) AS block
+            FROM tok JOIN plan ON tok.source IS NOT DISTINCT FROM plan.source),
+        summed AS (
+            SELECT *, sum(n_tokens) OVER (PARTITION BY source, block ORDER BY d, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto, sum(n_tokens) OVER (PARTITION BY source, block) AS every
+            FROM dealt)
+        SELECT doc_id, source, n_tokens, weight, epochs, block, CAST(floor(epochs) + CASE WHEN upto - n_tokens / 2.0 < (epochs - floor(epochs)) * every THEN 1 ELSE 0 END AS INTEGER) AS copies FROM summed""",
     "op9_no_random_access_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
