@@ -75,6 +75,15 @@ def update(catalog: Catalog, name: str, v: Version, sets: dict[str, str], condit
     return new, n
 
 
+def compact(catalog: Catalog, name: str, files: int) -> None:
+    """Rewrite a table's rows into so many files, clustered by its first index."""
+    v = catalog.current(name)
+    order = v.indexes[0].columns if v.indexes else v.primary_key
+    df = catalog.frame(name, v)
+    df = df.repartitionByRange(files, *order) if order else df.repartition(files)
+    catalog.publish(name, Version(v.number, v.fields, catalog.store(name, df, v), v.indexes, v.primary_key, v.rows), v.number)
+
+
 def latest_by_key(log: DataFrame, key: str, order: str, deleted: str | None = None) -> DataFrame:
     """The newest entry of each key; keys whose newest entry is a deletion go. One grouped maximum."""
     newest = log.groupBy(key).agg(F.max_by(F.struct("*"), F.col(order)).alias("r")).select("r.*")
