@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs, vectors
 from ..functions.aggs import aggregate
 from ..operators import dml, joins, knn
+from ..session import scratch
+from ..sources.catalog import Field
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -286,11 +288,84 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ivf_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate nearest neighbours of every 50th vector through an index of clusters (no SQL: k-means)."""
-    import tempfile
-    import uuid
-
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or ("file://" + tempfile.mkdtemp(prefix="tessera-") if sc.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir"))
     rows = table(spark, sf_dir, "embeddings")
-    index = knn.IvfIndex.build(rows, "embedding", 16, f"{base.rstrip('/')}/ivf-{uuid.uuid4().hex}")
+    index = knn.IvfIndex.build(rows, "embedding", 16, scratch(spark, "ivf"))
     return index.search_many(rows.where("vec_id % 50 = 0"), "vec_id", "embedding", 5, 6, "vec_id")
+
+
+# Statements on versioned tables.
+def _engine(spark: SparkSession):
+    from .statements import Engine
+
+    return Engine(spark, scratch(spark, "db"))
+
+
+def _run(engine, *statements: str) -> None:
+    for s in statements:
+        r = engine.execute(s)
+        if not r.ok:
+            raise RuntimeError(f"{s}: {r.error}")
+
+
+@query("SELECT * FROM (VALUES (1, 'N01', 1), (2, 'N2', 6)) AS t(id, name, c1)")
+def stmt_ddl_dml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE TABLE, multi-row INSERT, CREATE INDEX, UPDATE by value and by expression, DELETE, SELECT."""
+    e = _engine(spark)
+    _run(e, "create table u(id int, name char(4), c1 int) storage format=pax", "create index i on u(id)", "insert into u values (1,'N1',1),(2,'N2',1)", "insert into u values (3,'N3',2)",
+         "update u set name = 'N01' where id = 1", "update u set c1 = c1 + 5 where id = 2", "delete from u where c1 = 2", "analyze table u", "sync")
+    return e.query("select id, name, c1 from u")
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey > 20 THEN 'X' ELSE n_name END AS name, n_regionkey AS r FROM nation WHERE n_regionkey <> 1")
+def stmt_change_loaded_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole table loaded into the catalog, then deleted from and updated."""
+    e = _engine(spark)
+    e.catalog.create("n", [Field("k", "int"), Field("name", "char", 25), Field("r", "int")], ["k"])
+    v = e.catalog.current("n")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("r"))
+    e.catalog.publish("n", dml.insert(e.catalog, "n", rows, v), v.number)
+    _run(e, "delete from n where r = 1", "update n set name = 'X' where k > 20")
+    return e.query("select k, name, r from n")
+
+
+@query("SELECT * FROM (VALUES (1), (4)) AS t(id)")
+def stmt_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROLLBACK undoes, COMMIT publishes."""
+    e = _engine(spark)
+    _run(e, "create table t(id int)", "insert into t values (1)", "begin", "insert into t values (2)", "rollback", "begin", "insert into t values (4)", "commit")
+    return e.query("select id from t")
+
+
+@query("SELECT * FROM (VALUES ('2016-02-29', 'abc'), ('2020-01-01', NULL)) AS t(d, c)")
+def stmt_dates_and_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unpadded dates, CHAR truncation, NULLs; rejected rows leave no trace."""
+    e = _engine(spark)
+    _run(e, "create table d(d date not null, c char(3) null)", "insert into d values ('2016-2-29','abcdef')", "insert into d values ('2020-1-1',null)", "insert into d values ('1999-1-1','old')")
+    for bad in ("('2017-2-29','x')", "(null,'x')", "(5,'x')"):
+        if e.execute(f"insert into d values {bad}").ok:
+            raise RuntimeError(f"{bad} was accepted")
+    return e.query("select cast(d as string) d, c from d where d > '2000-1-1'")
+
+
+@query("SELECT * FROM (VALUES (7, 'seven'), (8, 'eight')) AS t(id, name)")
+def stmt_load_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LOAD DATA of delimited text."""
+    e = _engine(spark)
+    path = scratch(spark, "load")
+    spark.createDataFrame([("7|seven",), ("8|eight",)], "value string").coalesce(1).write.text(path)
+    _run(e, "create table l(id int, name char(8))", f"load data infile '{path}' into table l")
+    return e.query("select id, name from l")
+
+
+@query("SELECT * FROM (VALUES ('id', 'int', 4), ('v', 'vector', 12)) AS t(\"Field\", \"Type\", \"Length\")")
+def stmt_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _engine(spark)
+    _run(e, "create table t(id int, v vector(3))")
+    return e.execute("desc t").frame
+
+
+@query("SELECT 't' AS \"Tables_in_SYS\"")
+def stmt_show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _engine(spark)
+    _run(e, "create table t(id int)", "create table gone(id int)", "drop table gone")
+    return e.execute("show tables").frame

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -18,3 +21,12 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     """A session; ``master`` only for local use, a cluster sets its own."""
     builder = SparkSession.builder.appName("tessera").config(map=DEFAULTS | conf)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; without one, the warehouse, or on a local master a temporary folder."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-") if sc.master.startswith("local") and "cluster" not in sc.master else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
