@@ -61,7 +61,7 @@ L2 = lambda a, b: f"round(sqrt(list_sum(list_transform(list_zip({a}, {b}), lambd
 DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 
 
-@query("""SELECT c_mktsegment, count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(avg(l_quantity), 4) AS avg_qty,
+@query("""SELECT c_mktsegment, count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(avg(l_quantity), 6) AS avg_qty,
     min(l_discount) AS min_disc, max(l_tax) AS max_tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
     WHERE l_quantity > 10 AND o_orderstatus = 'F' GROUP BY c_mktsegment HAVING count(*) > 1""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     rows = line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     out = rows.groupBy("c_mktsegment").agg(
-        aggregate("count", "*").alias("n"), F.round(aggregate("sum", "l_extendedprice"), 2).alias("total"), F.round(aggregate("avg", "l_quantity"), 4).alias("avg_qty"),
+        aggregate("count", "*").alias("n"), F.round(aggregate("sum", "l_extendedprice"), 2).alias("total"), F.round(aggregate("avg", "l_quantity"), 6).alias("avg_qty"),
         aggregate("min", "l_discount").alias("min_disc"), aggregate("max", "l_tax").alias("max_tax"))
     return out.where("n > 1")
 
@@ -132,7 +132,7 @@ def calc_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Aggregation.
-both("scalar_agg_all", "SELECT count(*) AS n, count(l_tax) AS n_tax, CAST(sum(l_linenumber) AS BIGINT) AS s, round(avg(l_quantity), 4) AS a, min(l_shipdate) AS lo, max(l_shipdate) AS hi, min(l_returnflag) AS lo_flag FROM {lineitem}")
+both("scalar_agg_all", "SELECT count(*) AS n, count(l_tax) AS n_tax, CAST(sum(l_linenumber) AS BIGINT) AS s, round(avg(l_quantity), 6) AS a, min(l_shipdate) AS lo, max(l_shipdate) AS hi, min(l_returnflag) AS lo_flag FROM {lineitem}")
 both("scalar_agg_empty", "SELECT count(*) AS n, CAST(sum(o_custkey) AS DOUBLE) AS s, max(o_totalprice) AS m FROM {orders} WHERE o_orderkey < 0")
 both("group_single", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM {orders} GROUP BY o_orderstatus")
 both("group_multi", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 6) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
@@ -141,7 +141,7 @@ both("group_date", "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS d,
 both("agg_arith", "SELECT l_linenumber, CAST(sum(l_orderkey) + l_linenumber + 1 AS BIGINT) AS s, round(max(l_tax) - min(l_tax), 6) AS spread FROM {lineitem} GROUP BY l_linenumber")
 both("group_having", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 12 AND o_custkey > 3")
 both("group_having_hidden_agg", "SELECT o_custkey FROM {orders} GROUP BY o_custkey HAVING sum(o_totalprice) > 2000000")
-both("group_over_join", "SELECT n_name, count(*) AS n, round(avg(c_acctbal), 2) AS a FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name")
+both("group_over_join", "SELECT n_name, count(*) AS n, round(avg(c_acctbal), 6) AS a FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name")
 both("distinct_select", "SELECT DISTINCT l_returnflag, l_linestatus FROM {lineitem}")
 both("distinct_range", "SELECT DISTINCT p_size FROM {part} WHERE p_size BETWEEN 5 AND 20 ORDER BY p_size")
 both("count_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n FROM {lineitem} GROUP BY l_returnflag")
@@ -194,7 +194,7 @@ def two_level_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Nulls.
 both("null_compare", "SELECT c_custkey FROM {customer} WHERE CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END <> 100 AND c_custkey < 200")
 both("is_null_checks", "SELECT count(*) AS n FROM {customer} WHERE CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END IS NULL AND c_name IS NOT NULL AND NULL IS NULL")
-both("count_nulls", "SELECT count(*) AS n, count(x) AS nx, round(avg(x), 2) AS a, min(x) AS lo FROM (SELECT CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS x FROM {customer})")
+both("count_nulls", "SELECT count(*) AS n, count(x) AS nx, round(avg(x), 6) AS a, min(x) AS lo FROM (SELECT CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS x FROM {customer})")
 both("null_join_keys", "SELECT count(*) AS n FROM (SELECT CASE WHEN s_nationkey < 5 THEN NULL ELSE s_nationkey END AS k FROM {supplier}) JOIN {nation} ON k = n_nationkey")
 both("null_group", "SELECT CAST(CASE WHEN s_nationkey < 5 THEN NULL ELSE s_nationkey END AS DOUBLE) AS k, count(*) AS n FROM {supplier} GROUP BY CASE WHEN s_nationkey < 5 THEN NULL ELSE s_nationkey END")
 
@@ -290,7 +290,7 @@ def ivf_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate nearest neighbours of every 50th vector through an index of clusters (no SQL: k-means)."""
     rows = table(spark, sf_dir, "embeddings")
     index = knn.IvfIndex.build(rows, "embedding", 16, scratch(spark, "ivf"))
-    return index.search_many(rows.where("vec_id % 50 = 0"), "vec_id", "embedding", 5, 6, "vec_id")
+    return index.search_many(rows.where("vec_id % 50 = 0"), "vec_id", "embedding", 5, 9, "vec_id")
 
 
 # Statements on versioned tables.
