@@ -136,6 +136,7 @@ def _prefixes(values: DataFrame, prefix) -> DataFrame:
     """(v, rep, n, k) values of each text to those of its rarest ``prefix(n, k)`` that two texts hold,
     as (v, rep, n, u), u the number of its values that no other text holds. Those come first and are not moved."""
     counts = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    counts = stash(counts, "values")  # else the join keeps the sum's partitions and cannot split a hot value
     held = values.join(counts, "v")
     one = held.groupBy("rep", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
     length = F.greatest(F.lit(0), prefix(F.col("n"), F.col("k")) - (F.col("k") - F.size("held")))
