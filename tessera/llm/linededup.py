@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 WINDOW = 3
 
 
@@ -33,7 +35,8 @@ def covered(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to (rid, starts): first lines of the later occurrences in each text; rid is xxhash64(doc_id, text)."""
     lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.split("text", "\n", -1).alias("lines"))
     rows = lines.where(F.size("lines") >= WINDOW).select("doc_id", "rid", F.inline(_windows(F.col("lines"))))
-    first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    first = stash(first, "windows")  # else the join keeps the sum's partitions and cannot split a hot window
     later = rows.join(first, "h").where(F.struct("doc_id", "pos") > F.col("first"))
     return later.groupBy("rid").agg(F.collect_set("pos").alias("starts"))
 
