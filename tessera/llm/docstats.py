@@ -50,7 +50,7 @@ def count_batch(tb: tx.TextBatch) -> dict[str, np.ndarray]:
     cuts = np.flatnonzero(data == 10)
     starts = np.concatenate([tb.offsets[:-1], cuts + 1])
     row = np.concatenate([np.arange(n), np.searchsorted(tb.offsets, cuts, side="right") - 1])
-    by = np.argsort(row * 1.0 + 0.0, kind="stable") if not len(cuts) else np.lexsort((starts, row))
+    by = np.lexsort((starts, row))
     starts, row = starts[by], row[by]
     ends = np.empty_like(starts)
     ends[:-1] = starts[1:] - 1
