@@ -358,6 +358,29 @@ def test_url_rules(spark):
     assert judge(pages.limit(0), []).count() == 0
 
 
+def test_url_rules_of_many_hosts(spark, monkeypatch):
+    from tessera.llm import urlrules
+
+    # Each bad host alone gives 192 rules before pruning, and two after it.
+    rows = [(100 * h + i, f"https://www.bad{h:02d}.com/fr/news/{i}", True) for h in range(14) for i in range(11)]
+    rows += [(10_000 + i, f"https://www.good{i % 40}.com/fr/news/{i}", False) for i in range(400)]
+    rows += [(20_000 + i, f"https://www.good{i % 40}.com/{x}/{y}/1", x == y) for i in range(40) for x in "ab" for y in "ab"]
+    labelled = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    pages = labelled.select("page_id", "url").union(labelled.selectExpr("cast(null as long)", "url").limit(3)).union(spark.createDataFrame([(-1, None)], "page_id long, url string"))
+    rules = urlrules.mine(labelled.select("url", "bad"))
+    got = {tuple(r[0]): r[1] for r in rules}
+    assert all(got[(f"host:bad{h:02d}",)] == got[(f"part:bad{h:02d}",)] == 1 for h in range(14)) and got[("path0:a", "path1:a")] == 1
+    assert not any(set(a) < set(b) and got[a] >= got[b] for a in got for b in got)
+    bad = {r[1] for r in rows if r[2]}
+    for size in (2000, 5):
+        monkeypatch.setattr(urlrules, "MAX_RULES", size)
+        out = urlrules.judge(pages, rules).collect()
+        assert sorted((str(r["page_id"]), r["verdict"]) for r in out if r["page_id"] != -1) == sorted(
+            (str(r["page_id"]), "block" if r["url"] in bad else "allow") for r in pages.collect() if r["page_id"] != -1)
+        best = {r["page_id"]: r["confidence"] for r in out}
+        assert best[-1] is None and best[1300] == 1
+
+
 def test_mixing(spark, docs, none):
     from tessera.llm.mixing import exponent, mix
 
