@@ -16,7 +16,8 @@ place they are dealt to, and every pair of blocks returns k rows for each query.
 Defined results: vectors that are null or hold a null or a non-finite component take
 no part; nor do empty ones.  Vectors of different lengths do not meet.  Ties go to
 the smaller id.  A query with no candidate has no rows.  Rows that repeat an id are
-one; the rows of a query's own id are not its candidates.
+one before blocks are built, with the smallest of their usable vectors (as arrays
+compare); a query's own id is not its candidate.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def _blocks(rows: int):
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (query id, vector id, score) of each query's k best candidates in a block; integer-valued components."""
+    """Rows (query id, vector id, score) of each query's k best candidates in a block; integer-valued components, distinct ids."""
     n, dim = x.shape
     bound = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * dim
     kind = np.float32 if bound < 2**22 else np.float64
@@ -152,7 +153,7 @@ def _search(k: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(id, v array) to query_id, rank, vec_id, score of the k best other rows of each query row."""
     spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    good = vectors.where(usable(F.col("v"))).where("id IS NOT NULL")
+    good = vectors.where(usable(F.col("v"))).where("id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
     block = good.mapInArrow(_blocks(ROWS), BLOCKS)
     asked = good.where(is_query).mapInArrow(_blocks(QUERIES), BLOCKS).select(F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("data").alias("qdata"))
     # Each block of vectors goes to one place, each block of queries to all of them.
@@ -161,4 +162,4 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     both = block.join(asked, "at").where("dim = qdim").select("ids", "data", "qids", "qdata")
     found = both.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -443,6 +443,26 @@ def test_top_k(spark):
         assert b[a == 9000 + k].tolist() == np.lexsort((np.arange(3000), -s))[:3].tolist()
 
 
+def test_top_k_of_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.topk import top_k
+
+    x = np.random.default_rng(1).normal(size=(300, 12)).round(2)
+    other = x[10] + 5
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * 5 + [(10, other.tolist())] * 3 + [(20, None)]
+    x[10] = min(x[10].tolist(), other.tolist())
+    got = {}
+    for r in top_k(spark.createDataFrame(rows, "id long, v array<double>").repartition(2), F.col("id") % 50 == 0, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    i = np.floor(256 * x).astype(np.int64)
+    assert set(got) == set(range(0, 300, 50))
+    for q, found in got.items():
+        s = i @ i[q]
+        order = [k for k in np.lexsort((np.arange(300), -s)) if k != q][:5]
+        assert sorted(found) == [(n + 1, k, s[k]) for n, k in enumerate(order)]
+
+
 def brute_lines(rows):
     first = {}
     for i, text in rows:
