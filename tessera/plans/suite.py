@@ -287,10 +287,10 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ivf_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate nearest neighbours of every 50th vector through an index of clusters (no SQL: k-means)."""
+    """Approximate nearest neighbours of every 20th vector through an index of clusters (no SQL: k-means)."""
     rows = table(spark, sf_dir, "embeddings")
     index = knn.IvfIndex.build(rows, "embedding", 16, scratch(spark, "ivf"))
-    return index.search_many(rows.where("vec_id % 50 = 0"), "vec_id", "embedding", 5, 9, "vec_id")
+    return index.search_many(rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 5, 9, "vec_id")
 
 
 # Statements on versioned tables.

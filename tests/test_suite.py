@@ -51,3 +51,10 @@ def test_ivf_recall(spark):
         true = set(ids[np.argsort(d)[:5]])
         hit, total = hit + len(true & set(part["vec_id"])), total + 5
     assert hit / total >= 0.9
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_ivf_answers_every_query(spark, sf):
+    got = suite.queries()["ivf_ann"](spark, sf).toPandas()
+    want = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    assert set(got["query_id"]) == want and (got.groupby("query_id")["rank"].max() == 5).all()
