@@ -1,12 +1,14 @@
 """A key-value store as a log of batches: the newest entry of a key wins.
 
 Each batch is one immutable write of (key, value, seq, gone) rows, so a batch is atomic
-and readers of an older sequence number keep their view.  ``compact`` folds the log into
+and readers of an older sequence number keep their view.  Keys and values have any length.  ``compact`` folds the log into
 one entry for each live key; levels have no counterpart beyond that.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from . import dml
 
 
 class KeyValueStore:
-    FIELDS = (Field("key", "text", 4096, False), Field("value", "text", 4096, True), Field("seq", "int"), Field("gone", "int"))
+    FIELDS = (Field("key", "string"), Field("value", "string", nullable=True), Field("seq", "int"), Field("gone", "int"))
 
     def __init__(self, spark: SparkSession, path: str, name: str = "kv"):
         self.spark, self.name = spark, name
@@ -26,6 +28,7 @@ class KeyValueStore:
     def _write(self, rows: DataFrame, version: Version | None = None) -> int:
         """Append a batch under the next sequence number; fails if another writer took it."""
         v = version or self.catalog.current(self.name)
+        v = replace(v, fields=list(self.FIELDS))  # stores from before had bounded strings
         seq = v.number + 1
         self.catalog.publish(self.name, dml.insert(self.catalog, self.name, rows.withColumn("seq", F.lit(seq)), v), v.number)
         return seq
