@@ -30,9 +30,11 @@ from . import textops as tx
 ORDER = 3
 PAD = "\n" * ORDER
 UNDETERMINED = "und"
-#: The model is fitted on at most this many labelled texts of a language, and on
-#: at most this many languages; no longer text than this is used to fit it.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES, SAMPLE_CHARS = 400, 64, 65_536
+#: The model is fitted on at most this many labelled texts of a language, none longer than
+#: this.  A language with longer ones only gives so many of its shortest texts, whole.
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, LONG_SAMPLE = 400, 65_536, 8
+#: Every label is learned; more of them than this are an error, since the tables have a column for each.
+MAX_LANGUAGES = 64
 RESULT = "struct<lang:string,score:double,bits_per_byte:double>"
 
 
@@ -67,20 +69,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train_counts(labelled: DataFrame, seed: int = 0) -> DataFrame:
     """Byte-string counts (lang, size, gram, n) of a bounded sample of (doc_id, text, lang)."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("text", "lang", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    fits = F.length("text") <= SAMPLE_CHARS
+    # One label more than can be learned shows that there are too many.
+    sizes = rows.groupBy("lang").agg(F.count_if(fits).alias("count")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labelled languages")
     if not sizes:
         return rows.select("lang", F.lit(1).alias("size"), F.lit(0).cast("long").alias("gram"), F.lit(0).cast("long").alias("n")).limit(0)
     # A hash threshold thins each language to twice the bound before anything is sorted.
-    low = None
+    low = F.lit(False)
     for r in sizes:
+        if not r["count"]:
+            continue
         share = min(1.0, 2 * SAMPLE_PER_LANGUAGE / r["count"])
         limit = F.lit(int(-(2**63) + share * (2**64 - 1025)))
         hit = (F.col("lang") == r["lang"]) & (F.col("h") <= limit)
-        low = hit if low is None else low | hit
+        low = low | hit
     order = Window.partitionBy("lang").orderBy("h", "text")
-    sample = rows.where(low).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_PER_LANGUAGE)
+    sample = rows.where(low & fits).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_PER_LANGUAGE)
+    long = sorted(r["lang"] for r in sizes if not r["count"])
+    if long:
+        order = Window.partitionBy("lang").orderBy(F.length("text"), "h", "text")
+        shortest = rows.where(F.col("lang").isin(long)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LONG_SAMPLE)
+        sample = sample.union(shortest)
     counted = sample.select("lang", F.concat(F.lit(PAD), F.lower("text")).alias("t")).mapInArrow(
         _count, "lang string, size int, gram long, n long")
     return counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))

@@ -101,6 +101,22 @@ def test_language_id(spark, docs, none):
     assert detect(none, docs).count() == 0
 
 
+def test_every_label_is_learned(spark):
+    from tessera.llm.langid import MAX_LANGUAGES, detect, train_counts
+
+    # The only texts of one language are all longer than those that are sampled.
+    rows = [(i, "the cat sat on the mat and the dog " * 9, "en") for i in range(20)]
+    rows += [(100 + i, "wżdy żółw łka źdźbłem chrząszcz " * (2500 + 100 * i), "pl") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang"] for r in train_counts(docs).select("lang").distinct().collect()} == {"en", "pl"}
+    asked = spark.createDataFrame([(1, "the dog sat on the mat", None), (2, "żółw łka źdźbłem", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["detected"]["lang"] for r in detect(asked, docs).collect()} == {1: "en", 2: "pl"}
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i:03d}") for i in range(MAX_LANGUAGES)], "doc_id long, text string, lang string")
+    assert train_counts(many).select("lang").distinct().count() == MAX_LANGUAGES
+    with pytest.raises(ValueError, match="labelled languages"):
+        train_counts(many.union(docs))
+
+
 def test_code_lengths_are_exact():
     """Table look-up against a walk down the trees."""
     from tessera.llm import textops as tx
