@@ -2,12 +2,14 @@
 
 Vectors are packed into blocks.  In a block each dimension has a list sorted by
 value, read from the top for a query's positive components and from the bottom
-for its negative ones.  All lists are read to the same depth; what is read adds to
-a candidate's score, and the value at the list's head bounds what is not.  That
-gives each candidate a lower and an upper bound; a query stops when no candidate
-outside its best k can still qualify, and the scores of those that can are then
-resolved exactly.  Reading goes depth by depth for a block of queries at once, as
-products of matrices with masks of what has been read.
+for its negative ones, depth by depth.  What has been read adds to a candidate's
+score; the list's head bounds what has not been read from above and its far end from
+below, so every candidate has a lower and an upper bound all the time.  A query stops
+when at most a few candidates can still be among its best k, and the scores of those,
+no others, are then resolved.  At the full depth both bounds are the score, so a query
+that no earlier depth could stop ends by the same rule.  Depths are read for a block of
+queries at once, as products of matrices in which a read entry stands for itself and
+an unread one for its list's head or far end.
 
 The search is a stated query set against all rows, in blocks: blocks of at most
 ``QUERIES`` queries meet blocks of at most ``ROWS`` vectors in an equi-join on the
@@ -17,7 +19,9 @@ Defined results: vectors that are null or hold a null or a non-finite component
 no part; nor do empty ones.  Vectors of different lengths do not meet.  Ties go to
 the smaller id.  A query with no candidate has no rows.  Rows that repeat an id are
 one before blocks are built, with the smallest of their usable vectors (as arrays
-compare); a query's own id is not its candidate.
+compare); a query's own id is not its candidate.  Components beyond ``LARGEST`` in
+magnitude count as that.  Scores are exact integers; one that a long cannot hold
+counts as the nearest long, and ties there.
 """
 
 from __future__ import annotations
@@ -31,7 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ROWS, QUERIES = 4096, 1024
-DEPTHS = (0.06, 0.18, 0.4)
+#: Shares of the lists that have been read when bounds are compared; the last is all of them.
+DEPTHS = (0.05, 0.3, 0.7, 0.85, 0.93, 0.97, 1.0)
+LARGEST = 2.0**500
+#: Products below this are exact in 32-bit and in 64-bit floats.
+EXACT_32, EXACT_64 = 2.0**22, 2.0**52
 BLOCKS = "dim int, n int, ids binary, data binary"
 
 
@@ -61,7 +69,8 @@ def _blocks(rows: int):
             starts = np.concatenate([[0], np.cumsum(dims)])
             for dim in np.unique(dims).tolist():
                 own = np.flatnonzero(dims == dim)
-                part = np.floor(256 * flat[(starts[own][:, None] + np.arange(dim)).ravel()].reshape(len(own), dim))
+                part = flat[(starts[own][:, None] + np.arange(dim)).ravel()].reshape(len(own), dim)
+                part = np.floor(256 * np.clip(part, -LARGEST, LARGEST))
                 for a in range(0, len(own), rows):
                     piece = (ids[own[a : a + rows]], part[a : a + rows])
                     if size.get(dim, 0) + len(piece[0]) > rows:
@@ -74,64 +83,67 @@ def _blocks(rows: int):
     return run
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (query id, vector id, score) of each query's k best candidates in a block; integer-valued components, distinct ids."""
+def resolve(x: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
+    """Scores of some candidates for one query; by Python's integers where floats are not exact."""
+    if exact:
+        return (x @ q).astype(np.int64)
+    low, high = -(2**63), 2**63 - 1
+    whole = [int(v) for v in q]
+    return np.array([min(max(sum(int(v) * w for v, w in zip(row, whole)), low), high) for row in x], np.int64)
+
+
+def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, closed: dict[float, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (query id, vector id, score) of each query's k best candidates in a block; integer-valued components, distinct ids.
+    ``closed`` gets how many queries stopped at each depth."""
     n, dim = x.shape
-    bound = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * dim
-    kind = np.float32 if bound < 2**22 else np.float64
-    x, q = x.astype(kind), q.astype(kind)
-    rank = np.empty((n, dim), np.int32)
-    order = np.argsort(x, axis=0, kind="stable")
-    np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None].repeat(dim, 1), axis=0)
-    ordered = np.take_along_axis(x, order, axis=0)
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    floor = ordered[0] @ plus.T + ordered[-1] @ minus.T  # the least that unread lists can add
-    open_ = np.arange(len(q))
-    done: list[tuple[np.ndarray, np.ndarray]] = []
-    want = k
+    bound = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * dim
+    exact = bound < EXACT_64
+    kind = np.float32 if bound < EXACT_32 else np.float64
+    slack = 0.0 if exact else bound * dim * 2.0**-48  # what rounding can add to a bound
+    wide, wide_q = x, q
+    x = x.astype(kind)
+    # A list for each sign: columns of the values themselves, then of their negatives, both read from the largest.
+    both = np.concatenate([x, -x], axis=1)
+    weight = np.concatenate([np.maximum(q, 0), np.maximum(-q, 0)], axis=1).astype(kind).T
+    order = np.argsort(-both, axis=0, kind="stable")
+    place = np.empty((n, 2 * dim), np.int32)
+    np.put_along_axis(place, order, np.arange(n, dtype=np.int32)[:, None].repeat(2 * dim, 1), axis=0)
+    listed = np.take_along_axis(both, order, axis=0)
+    del order
     by = np.argsort(qids, kind="stable")
     lo, hi = np.searchsorted(qids[by], ids, "left"), np.searchsorted(qids[by], ids, "right")
     self_row = np.repeat(np.arange(n), hi - lo)
     self_query = by[np.concatenate([np.arange(a, b) for a, b in zip(lo, hi) if a < b] or [np.zeros(0, np.int64)])]
-    for share in (*DEPTHS, 1.0):
-        depth = min(n, max(want, int(n * share)))
-        if depth >= n or not len(open_):
+    few = max(4 * k, n // 64)
+    open_ = np.arange(len(q))
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for share in DEPTHS:
+        depth = n if share >= 1 else min(n, max(k + 1, int(n * share)))
+        if not len(open_):
             break
-        top, low = rank >= n - depth, rank < depth
-        head, foot = ordered[n - depth], ordered[depth - 1]
-        p, m = plus[open_].T, minus[open_].T
-        read = (x * top) @ p + (x * low) @ m
-        # What has been read replaces its list's bound.
-        above = read + (~top * head) @ p + (~low * foot) @ m
-        below = read + (~top * ordered[0]) @ p + (~low * ordered[-1]) @ m
+        w = weight[:, open_]
+        read = place < depth
+        upper = np.where(read, both, listed[depth - 1]) @ w
+        lower = upper if depth == n else np.where(read, both, listed[-1]) @ w
         column = np.full(len(q), -1)
         column[open_] = np.arange(len(open_))
         own = column[self_query] >= 0
-        above[self_row[own], column[self_query[own]]] = -np.inf
-        below[self_row[own], column[self_query[own]]] = -np.inf
-        kth = -np.partition(-below, min(want, n) - 1, axis=0)[min(want, n) - 1]
-        alive = above >= kth
-        few = alive.sum(axis=0) <= max(4 * want, n // 16)
-        for j in np.flatnonzero(few):
-            done.append((open_[j : j + 1], np.flatnonzero(alive[:, j])))
-        open_ = open_[~few]
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def best(query: int, rows: np.ndarray, scores: np.ndarray) -> None:
-        other = ids[rows] != qids[query]
-        rows, scores = rows[other], scores[other]
-        if len(rows) > k:
-            near = scores >= -np.partition(-scores, k - 1)[k - 1]
-            rows, scores = rows[near], scores[near]
-        by = np.lexsort((ids[rows], -scores))[:k]
-        parts.append((np.full(len(by), qids[query]), ids[rows[by]], scores[by].astype(np.int64)))
-
-    for query, rows in done:
-        best(int(query[0]), rows, x[rows] @ q[query[0]])
-    if len(open_):
-        scores = x @ q[open_].T
-        for j, query in enumerate(open_.tolist()):
-            best(query, np.arange(n), scores[:, j])
+        if not exact:
+            upper, lower = np.clip(upper, -(2.0**63), 2.0**63), np.clip(lower, -(2.0**63), 2.0**63)
+        for side in (upper, lower):
+            side[self_row[own], column[self_query[own]]] = -np.inf
+        at = min(k, n) - 1
+        kth = -np.partition(-lower, at, axis=0)[at]
+        alive = (upper >= kth - slack) & (upper > -np.inf)
+        stops = np.ones(len(open_), bool) if depth == n else alive.sum(axis=0) <= few
+        for j in np.flatnonzero(stops):
+            query, rows = int(open_[j]), np.flatnonzero(alive[:, j])
+            scores = upper[rows, j].astype(np.int64) if depth == n and exact else resolve(wide[rows], wide_q[query], exact)
+            best = np.lexsort((ids[rows], -scores.astype(object) if not exact else -scores))[:k]
+            parts.append((np.full(len(best), qids[query]), ids[rows[best]], scores[best]))
+        if closed is not None:
+            closed[share] = closed.get(share, 0) + int(stops.sum())
+        open_ = open_[~stops]
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(*parts))

@@ -450,13 +450,39 @@ def test_top_k(spark):
         assert [got[q][n + 1] for n in range(5)] == [(k, s[k]) for k in order]
     assert got[700] == {1: (750, 256 * 256 * 5)} and got[750] == {1: (700, 256 * 256 * 5)} and set(got) == {*range(0, 400, 50), 700, 750}
     assert top_k(df.limit(0), F.col("id") % 50 == 0, 5).count() == 0
-    # Peaked vectors, where reading stops early.
-    peaked = np.floor(256 * rng.exponential(size=(3000, 8)) ** 4)
-    q = np.eye(8)[:4] * 300
-    a, b, c = search_block(np.arange(3000), peaked, np.arange(9000, 9004), q, 3)
-    for k in range(4):
-        s = peaked @ q[k]
-        assert b[a == 9000 + k].tolist() == np.lexsort((np.arange(3000), -s))[:3].tolist()
+
+
+def brute_top(x, q, self_at, k):
+    """(row, score) of the k best rows by Python's integers, scores held to the range of a long."""
+    low, high = -(2**63), 2**63 - 1
+    scores = [min(max(sum(int(a) * int(b) for a, b in zip(v, q)), low), high) for v in x]
+    return [(i, scores[i]) for i in sorted(range(len(x)), key=lambda i: (-scores[i], i)) if i != self_at][:k]
+
+
+@pytest.mark.parametrize("kind", ["peaked", "real", "ties", "large", "beyond a long"])
+def test_top_k_stops_by_bounds(kind):
+    import duckdb
+
+    from tessera.llm.topk import search_block
+
+    rng = np.random.default_rng(2)
+    if kind == "real":
+        found = duckdb.sql("SELECT embedding FROM '/root/testdata/sf0.01/embeddings.parquet' ORDER BY vec_id").fetchall()
+        x = np.floor(256 * np.array([r[0] for r in found], float))
+    elif kind == "peaked":
+        x = np.floor(256 * rng.exponential(size=(3000, 8)) ** 4)
+    elif kind == "ties":
+        x = rng.integers(-1, 2, size=(500, 3)).astype(float)
+    else:
+        x = np.floor(rng.normal(size=(200, 5)) * (1e8 if kind == "large" else 1e12))
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), 50)
+    closed = {}
+    a, b, c = search_block(ids, x, asked, x[asked], 4, closed)
+    for q in asked:
+        assert list(zip(b[a == q].tolist(), c[a == q].tolist())) == brute_top(x, x[q], q, 4)
+    assert sum(closed.values()) == len(asked)
+    if kind in ("peaked", "real"):  # all stop before their lists end
+        assert closed.get(1.0, 0) == 0
 
 
 def test_top_k_of_repeated_rows(spark):
