@@ -1,16 +1,23 @@
 """Quality rules with adaptive thresholds.
 
 Each metric of each language and source has a quantile sketch: counts of values
-in logarithmic buckets (1 % wide, so a quantile is within 1 %).  Sketches are
+in logarithmic buckets (2 % wide, so a quantile is within 1 %).  Sketches are
 plain (group, bucket, count) rows, so they merge by addition: a group with fewer
 than ``ENOUGH`` documents takes the merged sketch of its language, and a small
-language the one of all documents.  A document fails a rule where its metric lies
-beyond the fence that the quartiles of its group set; the fences replace fixed
-cutoffs.  Documents meet their group's fences in a join.
+language the one of all documents.  A fence comes from quantiles of the group's
+sketch alone: it stands ``REACH`` times the gap between the median and the tail
+quantile beyond that quantile.  Where a metric has no such gap, as most documents
+lack the trait altogether, the fence is the lower quartile of the documents that
+have it; by rank, at most a tenth of the group is beyond.  No threshold is a constant.
+Documents meet their group's fences in a join, each as the value of its bucket, so
+a document on a fence passes.
 
 Defined results: null texts count as empty and fail the base rules; a null
 language or source is a group of its own.  Two counters come first and hold for
 all groups: fewer than ten words, or over 20 % of words in repeated windows.
+Documents that fail them do not count in sketches.  Rows that repeat an id are
+judged one by one; texts are counted whole, however long; columns beyond those named
+do not matter.  With no document there are no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +31,10 @@ from .common import stash
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 ENOUGH = 100
-#: Fences stand this many interquartile ranges beyond the quartiles, and at least
-#: this share of the median (or this much, for metrics that are mostly zero).
-REACH, LEAST_SHARE = 3.0, 0.5
-LEAST = {"word_length": 1.0, "symbol_rate": 0.2, "dup_line_share": 0.3, "repeat_share": 0.1, "upper_share": 0.2}
+#: Ranks of the low, middle and high quantile, and of the lower quartile of the documents that have a rare trait.
+LOW, MIDDLE, HIGH, RARE = 0.1, 0.5, 0.9, 0.25
+#: Fences stand so many gaps between the middle and the tail quantile beyond the tail.
+REACH = 5.0
 TWO_SIDED = ("word_length",)
 GAMMA = 1.02
 FLOOR = 1e-4
@@ -62,29 +69,34 @@ def sketches(stats: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge sketches over all but ``keys`` and read their quartiles: one row for each group."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge sketches over all but ``keys`` and read their quantiles: one row (docs, low, middle, high, rare) for each group and metric."""
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-    up = Window.partitionBy(*keys, "metric").orderBy("bucket")
-    all_ = Window.partitionBy(*keys, "metric")
-    ranked = merged.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(all_))
-    at = lambda q: value(F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("bucket"))))
-    return ranked.groupBy(*keys, "metric").agg(F.max("total").alias("docs"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    up, every = Window.partitionBy(*keys, "metric").orderBy("bucket"), Window.partitionBy(*keys, "metric")
+    zero = F.col("bucket") <= bucket(F.lit(FLOOR))
+    ranked = merged.select("*", F.sum("n").over(up).alias("upto"), F.sum("n").over(every).alias("total"), F.sum(F.when(zero, F.col("n")).otherwise(0)).over(every).alias("zeros"))
+
+    def at(rank: Column) -> Column:
+        return value(F.min(F.when(F.col("upto") >= rank, F.col("bucket"))))
+
+    whole = [at(F.ceil(F.col("total") * q)).alias(name) for q, name in ((LOW, "low"), (MIDDLE, "middle"), (HIGH, "high"))]
+    rare = F.coalesce(at(F.col("zeros") + F.greatest(F.ceil((F.col("total") - F.col("zeros")) * RARE), F.lit(1))), F.lit(0.0))
+    return ranked.groupBy(*keys, "metric").agg(F.max("total").alias("docs"), *whole, rare.alias("rare"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """(lang, source, fence): a map from metric to its lowest and highest value that passes."""
-    own = quartiles(sketch, ["lang", "source"])
-    lang = quartiles(sketch, ["lang"]).select(F.col("lang").alias("l2"), F.col("metric").alias("m2"), F.struct("docs", "q1", "q2", "q3").alias("by_lang"))
-    every = quartiles(sketch, []).select(F.col("metric").alias("m3"), F.struct("docs", "q1", "q2", "q3").alias("by_all"))
-    one = own.select("lang", "source", "metric", F.struct("docs", "q1", "q2", "q3").alias("own"))
+    read = F.struct("docs", "low", "middle", "high", "rare")
+    lang = quantiles(sketch, ["lang"]).select(F.col("lang").alias("l2"), F.col("metric").alias("m2"), read.alias("by_lang"))
+    every = quantiles(sketch, []).select(F.col("metric").alias("m3"), read.alias("by_all"))
+    one = quantiles(sketch, ["lang", "source"]).select("lang", "source", "metric", read.alias("own"))
     one = one.join(lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("metric") == F.col("m2"))).join(every, F.col("metric") == F.col("m3"))
     q = F.when(F.col("own.docs") >= ENOUGH, F.col("own")).when(F.col("by_lang.docs") >= ENOUGH, F.col("by_lang")).otherwise(F.col("by_all"))
     one = one.select("lang", "source", "metric", q.alias("q"))
-    least = F.create_map(*[F.lit(x) for kv in LEAST.items() for x in kv])
-    reach = F.greatest(REACH * (F.col("q.q3") - F.col("q.q1")), F.when(F.col("metric").isin(*TWO_SIDED), LEAST_SHARE * F.col("q.q2")).otherwise(0.0), F.element_at(least, F.col("metric")))
-    low = F.when(F.col("metric").isin(*TWO_SIDED), F.col("q.q1") - reach).otherwise(F.lit(float("-inf")))
-    pair = F.struct("metric", F.struct(low.alias("low"), (F.col("q.q3") + reach).alias("high")).alias("fence"))
+    low, middle, high = F.col("q.low"), F.col("q.middle"), F.col("q.high")
+    top = F.when(high > middle, high + REACH * (high - middle)).otherwise(F.greatest(high, F.col("q.rare")))
+    bottom = F.when(F.col("metric").isin(*TWO_SIDED), low - REACH * (middle - low)).otherwise(F.lit(float("-inf")))
+    pair = F.struct("metric", F.struct(bottom.alias("low"), top.alias("high")).alias("fence"))
     return one.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(pair)).alias("fence"))
 
 
@@ -95,7 +107,8 @@ def judge(docs: DataFrame) -> DataFrame:
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     stats = stats.withColumn("base_failed", base)
     limits = fences(sketches(stats.where(~F.col("base_failed")))).withColumnsRenamed({"lang": "l2", "source": "s2"})
+    limits = stash(limits, "fences")  # its size is then known, and the join can split a hot group
     both = stats.join(limits, F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")), "left").drop("l2", "s2")
-    beyond = [F.when((x < F.col("fence")[k]["low"]) | (x > F.col("fence")[k]["high"]), F.lit(k)) for k, x in metrics(F.col).items()]
+    beyond = [F.when((x < F.col("fence")[k]["low"]) | (x > F.col("fence")[k]["high"]), F.lit(k)) for k, x in ((k, value(bucket(x))) for k, x in metrics(F.col).items())]
     failed = F.array_compact(F.array(*beyond))
     return both.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("fence")

@@ -117,6 +117,44 @@ SQL = {
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept,
             CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE k.c END AS class_id
         FROM sets s JOIN comp c ON c.node = s.doc_id JOIN class k ON k.doc_id = s.doc_id""",
+    "op3_adaptive_quality_rules": r"""
+        WITH split AS (
+            SELECT doc_id, lang, source, coalesce(text, '') AS x, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda v: regexp_matches(v, '[^\x20\x09-\x0D]')) AS l FROM documents),
+        grams AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' ')))) AS h FROM split WHERE len(w) >= 5),
+        twice AS (SELECT doc_id, unnest(list(i)) AS i FROM grams GROUP BY doc_id, h HAVING count(*) > 1),
+        again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
+        counted AS (
+            SELECT split.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS upper
+            FROM split LEFT JOIN again USING (doc_id)),
+        based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
+        measured AS (
+            SELECT doc_id, lang, source, base_failed, unnest([
+                {'metric': 'word_length', 'x': word_chars / greatest(n_words, 1)}, {'metric': 'symbol_rate', 'x': n_symbols / greatest(n_words, 1)},
+                {'metric': 'dup_line_share', 'x': n_dup_lines / greatest(n_lines, 1)}, {'metric': 'repeat_share', 'x': n_repeat_words / greatest(n_words, 1)},
+                {'metric': 'upper_share', 'x': upper / greatest(word_chars, 1)}], recursive := true) FROM based),
+        held AS (SELECT *, CAST(floor(ln(greatest(x, 1e-4)) / ln(1.02)) AS INTEGER) AS bucket, CAST(floor(ln(1e-4) / ln(1.02)) AS INTEGER) AS nil FROM measured),
+        valued AS (SELECT *, CASE WHEN bucket <= nil THEN 0.0 ELSE pow(CAST(1.02 AS DOUBLE), bucket + 0.5) END AS v FROM held),
+        own AS (SELECT lang, source, metric, 1 AS level, v FROM valued WHERE NOT base_failed
+            UNION ALL SELECT lang, NULL, metric, 2, v FROM valued WHERE NOT base_failed
+            UNION ALL SELECT NULL, NULL, metric, 3, v FROM valued WHERE NOT base_failed),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, metric ORDER BY v) AS r, count(*) OVER (PARTITION BY level, lang, source, metric) AS total,
+            count(*) FILTER (v = 0) OVER (PARTITION BY level, lang, source, metric) AS zeros FROM own),
+        read AS (
+            SELECT level, lang, source, metric, max(total) AS docs, min(v) FILTER (r >= ceil(total * CAST(0.1 AS DOUBLE))) AS low, min(v) FILTER (r >= ceil(total * CAST(0.5 AS DOUBLE))) AS middle,
+                min(v) FILTER (r >= ceil(total * CAST(0.9 AS DOUBLE))) AS high, coalesce(min(v) FILTER (r >= zeros + greatest(ceil((total - zeros) * CAST(0.25 AS DOUBLE)), 1)), 0) AS rare
+            FROM ranked GROUP BY level, lang, source, metric),
+        picked AS (
+            SELECT a.lang, a.source, a.metric, CASE WHEN a.docs >= 100 THEN a ELSE CASE WHEN b.docs >= 100 THEN b ELSE c END END AS q
+            FROM read a JOIN read b ON b.level = 2 AND a.lang IS NOT DISTINCT FROM b.lang AND a.metric = b.metric JOIN read c ON c.level = 3 AND a.metric = c.metric WHERE a.level = 1),
+        fence AS (SELECT lang, source, metric, CASE WHEN metric = 'word_length' THEN q.low - 5 * (q.middle - q.low) ELSE CAST('-inf' AS DOUBLE) END AS bottom,
+            CASE WHEN q.high > q.middle THEN q.high + 5 * (q.high - q.middle) ELSE greatest(q.high, q.rare) END AS top FROM picked),
+        beyond AS (SELECT doc_id, string_agg(metric, ',' ORDER BY list_position(['word_length', 'symbol_rate', 'dup_line_share', 'repeat_share', 'upper_share'], metric)) AS failed_rules
+            FROM valued JOIN fence USING (metric) WHERE valued.lang IS NOT DISTINCT FROM fence.lang AND valued.source IS NOT DISTINCT FROM fence.source AND (v < bottom OR v > top) GROUP BY doc_id)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules IS NULL AS kept, coalesce(failed_rules, '') AS failed_rules
+        FROM based LEFT JOIN beyond USING (doc_id)""",
     "op6_suffix_automaton_dedup": r"""
         WITH words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
