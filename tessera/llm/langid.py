@@ -5,13 +5,18 @@ bytes, the counts of the bytes that followed them, and an escape probability
 (escape method C: as many escapes as distinct successors).  Statistics are
 frozen after training, so the code length of a byte depends on its last three
 bytes alone and a text's exact code length is a sum of table entries.  The
-trees of all languages share one table of four-byte strings with one column of
-bits for each language; strings that no language has seen escape to shorter
+trees of ``GROUP`` languages share one table of four-byte strings with one column of
+bits for each language; strings that none of them has seen escape to shorter
 contexts.  The predicted language has the shortest code.
 
+Every label is a language, however many there are.  Trees are fitted on a bounded
+number of labelled texts (``SAMPLE_PER_LANGUAGE``, and about ``SAMPLE_ALL`` in all); the size
+of the tables is checked before they are broadcast.
+
 Defined results: a null text, an empty one and one without a letter give
 ``und`` and score 0; so does any text when there is nothing to learn from.
-Equal code lengths go to the alphabetically first language.
+Equal code lengths go to the alphabetically first language.  Texts of any length are
+scored whole; rows that repeat an id are scored one by one.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textops as tx
+from .common import stash
 
 ORDER = 3
 PAD = "\n" * ORDER
@@ -33,8 +39,10 @@ UNDETERMINED = "und"
 #: The model is fitted on at most this many labelled texts of a language, none longer than
 #: this.  A language with longer ones only gives so many of its shortest texts, whole.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, LONG_SAMPLE = 400, 65_536, 8
-#: Every label is learned; more of them than this are an error, since the tables have a column for each.
-MAX_LANGUAGES = 64
+#: With many languages each gives fewer texts, so that about so many are read in all, but one at least.
+SAMPLE_ALL = 25_600
+#: Languages that share a table; tables that are larger than this together are not broadcast but an error.
+GROUP, MAX_TABLE_BYTES = 16, 1 << 30
 RESULT = "struct<lang:string,score:double,bits_per_byte:double>"
 
 
@@ -72,41 +80,36 @@ def train_counts(labelled: DataFrame, seed: int = 0) -> DataFrame:
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("text", "lang", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     fits = F.length("text") <= SAMPLE_CHARS
-    # One label more than can be learned shows that there are too many.
-    sizes = rows.groupBy("lang").agg(F.count_if(fits).alias("count")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labelled languages")
-    if not sizes:
-        return rows.select("lang", F.lit(1).alias("size"), F.lit(0).cast("long").alias("gram"), F.lit(0).cast("long").alias("n")).limit(0)
+    sizes = stash(rows.groupBy("lang").agg(F.count_if(fits).alias("fitting")), "labels")
+    each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ALL // max(1, sizes.count())))
     # A hash threshold thins each language to twice the bound before anything is sorted.
-    low = F.lit(False)
-    for r in sizes:
-        if not r["count"]:
-            continue
-        share = min(1.0, 2 * SAMPLE_PER_LANGUAGE / r["count"])
-        limit = F.lit(int(-(2**63) + share * (2**64 - 1025)))
-        hit = (F.col("lang") == r["lang"]) & (F.col("h") <= limit)
-        low = low | hit
+    share = F.least(F.lit(1.0), F.lit(2.0 * each) / F.greatest(F.col("fitting"), F.lit(1)))
+    rows = rows.join(sizes.withColumn("limit", (F.lit(-(2.0**63)) + share * (2.0**64 - 2048)).cast("long")), "lang")
     order = Window.partitionBy("lang").orderBy("h", "text")
-    sample = rows.where(low & fits).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_PER_LANGUAGE)
-    long = sorted(r["lang"] for r in sizes if not r["count"])
-    if long:
-        order = Window.partitionBy("lang").orderBy(F.length("text"), "h", "text")
-        shortest = rows.where(F.col("lang").isin(long)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LONG_SAMPLE)
-        sample = sample.union(shortest)
-    counted = sample.select("lang", F.concat(F.lit(PAD), F.lower("text")).alias("t")).mapInArrow(
+    sample = rows.where(fits & (F.col("h") <= F.col("limit"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
+    order = Window.partitionBy("lang").orderBy(F.length("text"), "h", "text")
+    shortest = rows.where("fitting = 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LONG_SAMPLE)
+    counted = sample.union(shortest).select("lang", F.concat(F.lit(PAD), F.lower("text")).alias("t")).mapInArrow(
         _count, "lang string, size int, gram long, n long")
     return counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Frozen context trees of all languages as tables of bits."""
+    """Frozen context trees of some languages as tables of bits."""
 
     SLOTS = 20
 
-    def __init__(self, counts: list[tuple[str, int, int, int]]):
-        self.langs = sorted({c[0] for c in counts})
-        at = {lang: i for i, lang in enumerate(self.langs)}
+    def __init__(self, counts: list[tuple[str, int, int, int]] | pa.Table):
+        """counts: (lang, size, gram, n) rows."""
+        if not isinstance(counts, pa.Table):
+            counts = pa.table([list(c) for c in zip(*counts)] or [[]] * 4, names=["lang", "size", "gram", "n"])
+        names = counts.column("lang").combine_chunks().dictionary_encode()
+        order = np.argsort(np.array(names.dictionary.to_pylist(), dtype=object)) if len(names.dictionary) else np.zeros(0, np.int64)
+        self.langs = [names.dictionary[int(i)].as_py() for i in order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        every_lang = place[names.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+        every_size, every_gram, every_n = (counts.column(c).to_numpy().astype(np.int64) for c in ("size", "gram", "n"))
         width = len(self.langs)
         self.keys: list[np.ndarray] = [np.zeros(0, np.uint32)] * (ORDER + 2)
         self.bits: list[np.ndarray] = [np.full((1, width), 8.0)] * (ORDER + 2)
@@ -114,10 +117,8 @@ class Model:
         self.escapes: list[np.ndarray] = [np.zeros((0, width))] * (ORDER + 1)
         weight = None
         for size in range(1, ORDER + 2):
-            rows = [(at[a], g, n) for a, s, g, n in counts if s == size]
-            lang = np.array([r[0] for r in rows], np.int64)
-            gram = np.array([r[1] for r in rows], np.int64)
-            n = np.array([r[2] for r in rows], float)
+            of = every_size == size
+            lang, gram, n = every_lang[of], every_gram[of], every_n[of].astype(float)
             keys, row = np.unique(gram, return_inverse=True)
             seen = np.zeros((len(keys), width))
             seen[row, lang] = n
@@ -145,7 +146,8 @@ class Model:
         self.slot_key = np.zeros(1 << self.SLOTS, np.uint32)
         full = self.slot_row >= 0
         self.slot_key[full] = self.keys[-1][self.slot_row[full]]
-        self.fast = self.bits[-1].astype(np.float32)
+        # A row of zeros stands for strings that are not counted here.
+        self.bits[-1] = np.vstack([self.bits[-1], np.zeros((1, width))])
 
     def _slot(self, gram: np.ndarray) -> np.ndarray:
         return (gram * np.uint32(2654435769)) >> np.uint32(32 - self.SLOTS)
@@ -182,10 +184,9 @@ class Model:
         slot = self._slot(gram)
         row = self.slot_row[slot]
         hit = (self.slot_key[slot] == gram) & (row >= 0)
-        table = np.vstack([self.fast, np.zeros((1, len(self.langs)), np.float32)])
-        row[~hit] = len(self.fast)
+        row[~hit] = len(self.bits[-1]) - 1
         # Strings that end in a text's first bytes reach into the text before; they are not its own.
-        bits = table[row]
+        bits = self.bits[-1][row]
         edge = (tb.offsets[1:-1, None] + np.arange(-ORDER, 0)).ravel()
         edge = edge[(edge >= 0) & (edge < len(gram))]
         own = np.ones(len(gram), bool)
@@ -193,8 +194,7 @@ class Model:
         bits[~own] = 0
         has = tb.sizes > ORDER
         starts = tb.offsets[:-1][has]
-        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
-        out[has] = sums
+        out[has] = np.add.reduceat(bits, starts, axis=0)
         miss = np.flatnonzero(~hit & own)
         if len(miss):
             doc = np.searchsorted(tb.offsets, miss, side="right") - 1
@@ -204,7 +204,18 @@ class Model:
         return out
 
 
-def predict_batch(model: Model, texts: pa.Array, letters: pa.Array) -> pa.StructArray:
+class Trees:
+    """Models of all languages, ``GROUP`` languages in each."""
+
+    def __init__(self, models: list[Model]):
+        self.models = models
+        self.langs = [x for m in models for x in m.langs]
+
+    def code_lengths(self, tb: tx.TextBatch) -> np.ndarray:
+        return np.hstack([m.code_lengths(tb) for m in self.models]) if self.models else np.zeros((tb.n, 0))
+
+
+def predict_batch(model: Trees, texts: pa.Array, letters: pa.Array) -> pa.StructArray:
     langs, scores, rates = [], [], []
     whole = pa.RecordBatch.from_arrays([texts, letters], ["t", "ok"])
     for part in tx.chunks(whole, "t"):
@@ -225,14 +236,20 @@ def predict_batch(model: Model, texts: pa.Array, letters: pa.Array) -> pa.Struct
         ["lang", "score", "bits_per_byte"])
 
 
-def fit(labelled: DataFrame, seed: int = 0) -> Model:
-    """Context trees from (doc_id, text, lang); the counts come from a bounded sample, so they fit the driver."""
-    return Model([tuple(r) for r in train_counts(labelled, seed).collect()])
+def fit(labelled: DataFrame, seed: int = 0) -> Trees:
+    """Context trees from (doc_id, text, lang); the counts come from a bounded sample, so those of a group fit the driver."""
+    counts = stash(train_counts(labelled, seed), "counts")
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    groups = [langs[i : i + GROUP] for i in range(0, len(langs), GROUP)]
+    return Trees([Model(counts.where(F.col("lang").isin(g)).toArrow()) for g in groups])
 
 
-def predictor(spark, model: Model):
+def predictor(spark, model: Trees):
     """A column function of a text column: struct(lang, score, bits_per_byte)."""
-    held = spark.sparkContext.broadcast(pickle.dumps(model, protocol=5))
+    data = pickle.dumps(model, protocol=5)
+    if len(data) > MAX_TABLE_BYTES:
+        raise ValueError(f"context trees of {len(model.langs)} languages take {len(data)} bytes, over {MAX_TABLE_BYTES}")
+    held = spark.sparkContext.broadcast(data)
 
     def run(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known = pickle.loads(held.value)
@@ -249,5 +266,5 @@ def predictor(spark, model: Model):
 
 
 def detect(docs: DataFrame, labelled: DataFrame, out: str = "detected") -> DataFrame:
-    """``docs`` with a struct column ``out``: lang, score, bits_per_byte. Other columns pass unchanged."""
+    """``docs`` with a struct column ``out``: lang, score, bits_per_byte. It replaces a column of that name; others pass unchanged."""
     return docs.withColumn(out, predictor(docs.sparkSession, fit(labelled))(F.col("text")))
