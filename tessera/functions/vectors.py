@@ -57,3 +57,16 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 DISTANCES = {"l2_distance": l2_distance, "cosine_distance": cosine_distance, "inner_product": inner_product}
+
+_SAME = "CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN size({a}) = size({b}) THEN %s ELSE raise_error('vector dimensions differ') END"
+_TOTAL = "aggregate(%s, 0D, (s, x) -> s + x)"
+_PAIRS = "zip_with(CAST({a} AS ARRAY<DOUBLE>), CAST({b} AS ARRAY<DOUBLE>), (x, y) -> %s)"
+_NORM = "sqrt(" + _TOTAL % "transform(CAST({%s} AS ARRAY<DOUBLE>), x -> x * x)" + ")"
+_EACH = "zip_with({a}, {b}, (x, y) -> x %s y)"
+#: The same as SQL text with places for two operands.
+SQL_FORMS = {
+    "l2_distance": _SAME % f"sqrt({_TOTAL % (_PAIRS % '(x - y) * (x - y)')})",
+    "inner_product": _SAME % (_TOTAL % (_PAIRS % "x * y")),
+    "cosine_distance": _SAME % f"1D - try_divide({_TOTAL % (_PAIRS % 'x * y')}, {_NORM % 'a'} * {_NORM % 'b'})",
+    **{op: _SAME % (_EACH % op) for op in "+-*"},
+}

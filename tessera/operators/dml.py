@@ -6,7 +6,9 @@ the cost of a change follows the data it touches.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog, CatalogError, Version, conform
@@ -31,21 +33,38 @@ def check_unique(rows: DataFrame, columns: list[str]) -> None:
         raise CatalogError(f"duplicate key in ({', '.join(columns)})")
 
 
-def check_constraints(catalog: Catalog, name: str, v: Version) -> None:
-    for i in v.indexes:
-        if i.unique:
-            check_unique(catalog.frame(name, v), i.columns)
+def check_new_keys(catalog: Catalog, name: str, v: Version, files: list[str], kept: list[str], keys: list[list[str]]) -> None:
+    """An error if rows in ``files`` repeat a key among themselves or one in the ``kept`` files.
+
+    Only the new rows are grouped.  Old rows are read between the least and the greatest new key,
+    which prunes files and row groups, and meet the new keys in a semi join.
+    """
+    new = catalog.frame(name, replace(v, files=files))
+    for columns in keys:
+        check_unique(new, columns)
+        if not kept:
+            continue
+        first = columns[0]
+        low, high = new.agg(F.min(first), F.max(first)).first()
+        if low is None:
+            continue
+        old = catalog.frame(name, replace(v, files=kept)).where(F.col(first).between(low, high)).select(*columns)
+        if old.join(new.select(*columns), columns, "left_semi").limit(1).count():
+            raise CatalogError(f"duplicate key in ({', '.join(columns)})")
 
 
 def insert(catalog: Catalog, name: str, rows: DataFrame, v: Version) -> Version:
     """All rows or none."""
     files = catalog.store(name, conform(rows, v), v)
-    new = Version(v.number, v.fields, v.files + files, v.indexes, v.primary_key)
-    check_constraints(catalog, name, new)
-    return new
+    try:
+        check_new_keys(catalog, name, v, files, v.files, v.keys)
+    except CatalogError:
+        catalog.discard(files)
+        raise
+    return replace(v, files=v.files + files, rows=None)
 
 
-def _rewrite(catalog: Catalog, name: str, v: Version, condition: str, change) -> tuple[Version, int]:
+def _rewrite(catalog: Catalog, name: str, v: Version, condition: str, change, keys: list[list[str]] = ()) -> tuple[Version, int]:
     if not v.files:
         catalog.frame(name, v).where(condition)  # names are checked all the same
         return v, 0
@@ -56,10 +75,14 @@ def _rewrite(catalog: Catalog, name: str, v: Version, condition: str, change) ->
     path = lambda p: p.split(":", 1)[-1].replace("///", "/")
     touched = {path(r["f"]) for r in hits}
     old = [f for f in v.files if path(f) in touched]
-    part = Version(v.number, v.fields, old, v.indexes, v.primary_key)
-    files = catalog.store(name, conform(change(catalog.frame(name, part)), v), v)
-    new = Version(v.number, v.fields, [f for f in v.files if path(f) not in touched] + files, v.indexes, v.primary_key)
-    return new, sum(r["count"] for r in hits)
+    kept = [f for f in v.files if path(f) not in touched]
+    files = catalog.store(name, conform(change(catalog.frame(name, replace(v, files=old))), v), v)
+    try:
+        check_new_keys(catalog, name, v, files, kept, list(keys))
+    except CatalogError:
+        catalog.discard(files)
+        raise
+    return replace(v, files=kept + files, rows=None), sum(r["count"] for r in hits)
 
 
 def delete(catalog: Catalog, name: str, v: Version, condition: str = "true") -> tuple[Version, int]:
@@ -67,12 +90,9 @@ def delete(catalog: Catalog, name: str, v: Version, condition: str = "true") ->
 
 
 def update(catalog: Catalog, name: str, v: Version, sets: dict[str, str], condition: str = "true") -> tuple[Version, int]:
-    for c in sets:
-        v.column(c)
-    new, n = _rewrite(catalog, name, v, condition, lambda df: update_frame(df, sets, condition))
-    if n:
-        check_constraints(catalog, name, new)
-    return new, n
+    changed = {v.column(c).name for c in sets}
+    keys = [k for k in v.keys if changed & {v.column(c).name for c in k}]
+    return _rewrite(catalog, name, v, condition, lambda df: update_frame(df, sets, condition), keys)
 
 
 def compact(catalog: Catalog, name: str, files: int) -> None:
@@ -81,10 +101,10 @@ def compact(catalog: Catalog, name: str, files: int) -> None:
     order = v.indexes[0].columns if v.indexes else v.primary_key
     df = catalog.frame(name, v)
     df = df.repartitionByRange(files, *order) if order else df.repartition(files)
-    catalog.publish(name, Version(v.number, v.fields, catalog.store(name, df, v), v.indexes, v.primary_key, v.rows), v.number)
+    catalog.publish(name, replace(v, files=catalog.store(name, df, v)), v.number)
 
 
-def latest_by_key(log: DataFrame, key: str, order: str, deleted: str | None = None) -> DataFrame:
+def latest_by_key(log: DataFrame, key: str, order: str | Column, deleted: str | None = None) -> DataFrame:
     """The newest entry of each key; keys whose newest entry is a deletion go. One grouped maximum."""
-    newest = log.groupBy(key).agg(F.max_by(F.struct("*"), F.col(order)).alias("r")).select("r.*")
+    newest = log.groupBy(key).agg(F.max_by(F.struct("*"), F.col(order) if isinstance(order, str) else order).alias("r")).select("r.*")
     return newest.where(~F.col(deleted)) if deleted else newest

@@ -1,21 +1,30 @@
-"""Nearest neighbours: exact, and by an inverted-file index over clusters.
+"""Nearest neighbours: exact, and by an inverted file of clusters.
 
 The index is a table partitioned by cluster, so a search with few probes reads only
-those clusters' files.  ``knn`` takes the index when there is one for its column and
-distance and keeps the same result columns either way.
+those clusters' files.  Clusters are fitted on a bounded sample, every row is assigned.  How
+many lists a search must probe depends on the vectors, so ``calibrate`` measures recall on a
+bounded sample of queries and takes the fewest probes that reach a target.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.vectors import DISTANCES
 
+#: Rows that clusters are fitted on, queries that recall is measured on, vectors of one block of a cluster.
+FIT_ROWS, PROBE_QUERIES, BLOCK = 200_000, 64, 4096
+
 
 def _literal(q: list[float]):
     return F.array(*[F.lit(float(x)) for x in q])
@@ -29,6 +38,18 @@ def exact(df: DataFrame, column: str, q: list[float], k: int, distance: str = "l
     return rows.orderBy(order, *([key] if key else [])).limit(k)
 
 
+def gaps(centroids: np.ndarray, q: np.ndarray, distance: str, largest: bool) -> np.ndarray:
+    """How far each query (rows) is from each centroid (columns): smaller is nearer in the order that a search asks for."""
+    if distance == "l2_distance":
+        d = (q * q).sum(axis=1)[:, None] - 2 * q @ centroids.T + (centroids * centroids).sum(axis=1)
+    else:
+        d = q @ centroids.T
+        if distance == "cosine_distance":
+            norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(centroids, axis=1)
+            d = 1 - np.divide(d, norms, out=np.zeros_like(d), where=norms > 0)
+    return -d if largest else d
+
+
 @dataclass
 class IvfIndex:
     column: str
@@ -37,32 +58,100 @@ class IvfIndex:
     centroids: list[list[float]]
 
     @classmethod
-    def build(cls, df: DataFrame, column: str, lists: int, path: str, distance: str = "l2_distance", seed: int = 7, sample: int = 200_000) -> IvfIndex:
-        """Cluster a bounded sample, assign every row, write by cluster."""
+    def build(cls, df: DataFrame, column: str, lists: int | None, path: str, distance: str = "l2_distance", seed: int = 7, sample: int = FIT_ROWS) -> IvfIndex:
+        """Cluster a bounded sample, assign every row, write by cluster; about a square root of lists by default."""
         spark = df.sparkSession
-        features = df.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
-        n = df.count()
-        fitted = features if n <= sample else features.sample(min(1.0, 1.1 * sample / n), seed)
-        model: KMeansModel = KMeans(k=lists, seed=seed, maxIter=10).fit(fitted)
-        model.transform(features).withColumnRenamed("prediction", "cluster_id").drop("features").repartition("cluster_id").write.mode("overwrite").partitionBy("cluster_id").parquet(path)
-        return cls(column, distance, spark.read.parquet(path), [list(map(float, c)) for c in model.clusterCenters()])
+        rows = df.where(F.col(column).isNotNull())
+        features = rows.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
+        n = rows.count()
+        lists = max(1, min(lists or math.isqrt(n), n))
+        if lists > 1:
+            fitted = features if n <= sample else features.sample(min(1.0, 1.1 * sample / n), seed)
+            model: KMeansModel = KMeans(k=lists, seed=seed, maxIter=10).fit(fitted)
+            placed = model.transform(features).withColumnRenamed("prediction", "cluster_id").drop("features")
+            centroids = [list(map(float, c)) for c in model.clusterCenters()]
+        else:
+            width = rows.agg(F.max(F.size(column))).first()[0] or 0
+            mean = rows.agg(*[F.avg(F.get(F.col(column), i)) for i in range(width)]).first() if width else ()
+            placed, centroids = rows.withColumn("cluster_id", F.lit(0)), [[float(x) for x in mean]]
+        # Rows of a cluster go together, and a cluster of any size is split where it is too large.
+        placed.hint("rebalance", "cluster_id").write.mode("overwrite").partitionBy("cluster_id").parquet(path)
+        spec = rows.withColumn("cluster_id", F.lit(0)).schema
+        return cls(column, distance, spark.read.schema(spec).parquet(path), centroids)
+
+    def near(self, q: list[float], probes: int, largest: bool = False) -> list[int]:
+        """The lists to read, in the order of the index's own distance."""
+        d = gaps(np.array(self.centroids), np.array([q], float), self.distance, largest)[0]
+        return np.argsort(d, kind="stable")[:probes].tolist()
 
     def search(self, q: list[float], k: int, probes: int, key: str | None = None) -> DataFrame:
         """Rank centroids, read the nearest ``probes`` clusters, search them exactly."""
-        gap = lambda c: sum((x - y) ** 2 for x, y in zip(c, q))
-        near = sorted(range(len(self.centroids)), key=lambda i: gap(self.centroids[i]))[:probes]
+        near = self.near(q, probes, self.distance == "inner_product")
         return exact(self.table.where(F.col("cluster_id").isin(near)), self.column, q, k, self.distance, key).drop("cluster_id")
 
     def search_many(self, queries: DataFrame, query_key: str, query_column: str, k: int, probes: int, key: str) -> DataFrame:
-        """The k nearest for each row of ``queries``: each goes to its nearest clusters in an equi-join on the cluster."""
-        from pyspark.sql.window import Window
-
-        gaps = F.array(*[F.struct(DISTANCES["l2_distance"](F.col(query_column), _literal(c)).alias("d"), F.lit(i).alias("c")) for i, c in enumerate(self.centroids)])
-        asked = queries.select(F.col(query_key).alias("query_id"), F.col(query_column).alias("q"), F.explode(F.slice(F.array_sort(gaps), 1, probes)).alias("p"))
-        both = asked.select("query_id", "q", F.col("p.c").alias("cluster_id")).join(self.table, "cluster_id")
-        both = both.where(F.col(key) != F.col("query_id")).withColumn("distance", DISTANCES[self.distance](F.col(self.column), F.col("q")))
-        order = Window.partitionBy("query_id").orderBy(F.desc("distance") if self.distance == "inner_product" else F.asc("distance"), key)
-        return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")
+        """The k nearest for each row of ``queries``, but for the row itself: (query_id, rank, key, distance).
+
+        Queries go to their nearest clusters; a cluster meets its queries in blocks of at most
+        ``BLOCK`` vectors and as many queries, as a product of matrices, and gives k rows for each query.
+        """
+        centroids, distance, largest = np.array(self.centroids), self.distance, self.distance == "inner_product"
+
+        def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                q = _matrix(batch.column("v"))
+                near = np.argsort(gaps(centroids, q, distance, largest), axis=1, kind="stable")[:, :probes]
+                row = np.repeat(np.arange(len(q)), near.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(near.ravel().astype(np.int32))], ["id", "v", "cluster_id"])
+
+        def meet(_, rows: pa.Table, asked: pa.Table) -> pa.Table:
+            ids, qids = (t.column("id").combine_chunks().to_numpy() for t in (rows, asked))
+            out = []
+            if len(ids) and len(qids):
+                x = _matrix(rows.column("v").combine_chunks())
+                for a in range(0, len(qids), 512):
+                    q = _matrix(asked.column("v").combine_chunks().slice(a, 512))
+                    d = gaps(x, q, distance, largest)
+                    d[qids[a : a + 512, None] == ids] = np.inf
+                    for j in range(len(q)):
+                        some = np.flatnonzero(d[j] <= np.partition(d[j], k - 1)[k - 1]) if len(ids) > k else np.arange(len(ids))
+                        best = some[np.lexsort((ids[some], d[j][some]))][:k]
+                        best = best[d[j][best] < np.inf]
+                        out.append((np.full(len(best), qids[a + j]), ids[best]))
+            q, i = (np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((), ())))
+            return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64())})
+
+        ask = queries.where(F.col(query_column).isNotNull()).select(F.col(query_key).cast("long").alias("id"), F.col(query_column).cast("array<double>").alias("v"))
+        ask = ask.mapInArrow(place, "id long, v array<double>, cluster_id int")
+        held = self.table.select(F.col(key).cast("long").alias("id"), F.col(self.column).cast("array<double>").alias("v"), "cluster_id")
+        sizes = held.groupBy("cluster_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nx")).join(
+            ask.groupBy("cluster_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq")), "cluster_id")
+        held = held.join(sizes, "cluster_id").select("id", "v", "cluster_id", F.pmod(F.xxhash64("id"), "nx").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
+        ask = ask.join(sizes, "cluster_id").select("id", "v", "cluster_id", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "nq").cast("int").alias("j"))
+        block = ["cluster_id", "i", "j"]
+        found = held.groupBy(*block).cogroup(ask.groupBy(*block)).applyInArrow(meet, "query_id long, id long")
+        # Few rows are left: their distances are those of the expressions.
+        found = found.join(self.table.select(F.col(key).cast("long").alias("id"), F.col(key).alias("_key"), F.col(self.column).alias("v")), "id")
+        found = found.join(queries.select(F.col(query_key).cast("long").alias("query_id"), F.col(query_column).alias("q")), "query_id")
+        found = found.select("query_id", F.col("_key").alias(key), DISTANCES[self.distance](F.col("v"), F.col("q")).alias("distance")).distinct()
+        order = Window.partitionBy("query_id").orderBy(F.desc("distance") if largest else F.asc("distance"), key)
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")
+
+    def calibrate(self, k: int, recall: float, key: str, seed: int = 7) -> int:
+        """The fewest probes with at least this recall over a bounded sample of the table's own rows."""
+        some = self.table.select(key, self.column).orderBy(F.xxhash64(F.lit(seed), key)).limit(PROBE_QUERIES).withColumnsRenamed({key: "q_id", self.column: "q"})
+        found = self.search_many(some, "q_id", "q", k, len(self.centroids), key)
+        ids = found.join(self.table.select(F.col(key).alias("i"), "cluster_id"), F.col(key) == F.col("i")).select("query_id", "cluster_id").collect()
+        asked = {r["q_id"]: r["q"] for r in some.collect()}
+        largest = self.distance == "inner_product"
+        ranks = {i: np.argsort(np.argsort(gaps(np.array(self.centroids), np.array([q], float), self.distance, largest)[0], kind="stable")) for i, q in asked.items()}
+        needed = sorted(int(ranks[r["query_id"]][r["cluster_id"]]) + 1 for r in ids)
+        return needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)] if needed else len(self.centroids)
+
+
+def _matrix(v: pa.ListArray) -> np.ndarray:
+    flat = v.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(v), -1) if len(v) else np.zeros((0, 0))
 
 
 def knn(df: DataFrame, column: str, q: list[float], k: int, distance: str = "l2_distance", index: IvfIndex | None = None, probes: int = 5, key: str | None = None) -> DataFrame:
@@ -70,3 +159,4 @@ def knn(df: DataFrame, column: str, q: list[float], k: int, distance: str = "l2_
     if index is not None and index.column == column and index.distance == distance:
         return index.search(q, k, probes, key)
     return exact(df, column, q, k, distance, key)
+

@@ -1,7 +1,8 @@
 """A key-value store as a log of batches: the newest entry of a key wins.
 
 Each batch is one immutable write of (key, value, seq, gone) rows, so a batch is atomic
-and readers of an older sequence number keep their view.  Keys and values have any length.  ``compact`` folds the log into
+and readers of an older sequence number keep their view.  Keys and values have any length.  Of
+entries of one key in one batch the largest value wins.  ``compact`` folds the log into
 one entry for each live key; levels have no counterpart beyond that.
 """
 
@@ -47,14 +48,15 @@ class KeyValueStore:
         """Live (key, value) rows; a condition on the key is pushed into the files."""
         log = self.catalog.frame(self.name, version)
         log = log if condition is None else log.where(condition)
-        return dml.latest_by_key(log.withColumn("removed", F.col("gone") == 1), "key", "seq", "removed").select("key", "value")
+        return dml.latest_by_key(log.withColumn("removed", F.col("gone") == 1), "key", F.struct("seq", "value"), "removed").select("key", "value")
 
     def get(self, key: str, version: Version | None = None) -> str | None:
         r = self.scan(F.col("key") == key, version).first()
         return r["value"] if r else None
 
-    def compact(self, files: int = 1) -> None:
-        """Fold the log; older pinned versions stay readable."""
+    def compact(self, files: int | None = None) -> None:
+        """Fold the log, into so many files or as many as its size asks for; older pinned versions stay readable."""
         v = self.catalog.current(self.name)
-        live = self.scan(version=v).select("key", "value", F.lit(v.number + 1).alias("seq"), F.lit(0).alias("gone")).repartitionByRange(files, "key")
-        self.catalog.publish(self.name, Version(v.number, v.fields, self.catalog.store(self.name, live.sortWithinPartitions("key"), v)), v.number)
+        live = self.scan(version=v).select("key", "value", F.lit(v.number + 1).alias("seq"), F.lit(0).alias("gone"))
+        live = live.repartitionByRange(files, "key") if files else live.repartitionByRange("key")
+        self.catalog.publish(self.name, replace(v, files=self.catalog.store(self.name, live.sortWithinPartitions("key"), v)), v.number)

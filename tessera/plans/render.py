@@ -14,7 +14,8 @@ def cell(v: object) -> str:
     if isinstance(v, bool):
         return str(v).upper()
     if isinstance(v, float):
-        return re.sub(r"\.?0+$", "", f"{v:.2f}")
+        text = re.sub(r"\.?0+$", "", f"{v:.2f}")
+        return "0" if text == "-0" else text
     if isinstance(v, datetime.date):
         return v.isoformat()
     if isinstance(v, (list, tuple)):

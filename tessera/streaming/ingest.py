@@ -1,11 +1,14 @@
 """Continuous loading: delimited files that arrive in a folder are appended to a table.
 
-An extension beyond the relational surface: the same schema rules as LOAD DATA,
-with Structured Streaming's exactly-once file tracking.
+An extension beyond the relational surface: the same schema rules as LOAD DATA.  A version
+records the last batch of each stream that it holds, so a batch that is replayed after a
+failure is not added twice.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -22,6 +25,8 @@ def follow(spark: SparkSession, catalog: Catalog, name: str, folder: str, checkp
 
     def append(batch, epoch: int) -> None:
         now = catalog.current(name)
-        catalog.publish(name, dml.insert(catalog, name, batch, now), now.number)
+        if now.batches.get(checkpoint, -1) >= epoch:
+            return
+        catalog.publish(name, replace(dml.insert(catalog, name, batch, now), batches=now.batches | {checkpoint: epoch}), now.number)
 
     return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -36,25 +36,40 @@ def test_every_query_has_sql_but_kmeans():
     assert set(suite.queries()) - set(suite.oracle_sql()) == {"ivf_ann"}
 
 
-def test_ivf_recall(spark):
-    from pyspark.sql import functions as F
-
-    got = suite.queries()["ivf_ann"](spark, SF).toPandas()
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_ivf_recall(spark, sf):
+    """Every id divisible by 20 is answered, with a recall of 0.9 at least against all rows."""
     import numpy as np
 
-    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", F.col("embedding")).toPandas()
-    x, ids = np.array(e["embedding"].tolist()), e["vec_id"].to_numpy()
+    got = suite.queries()["ivf_ann"](spark, sf).toPandas()
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x, ids = np.array(e["embedding"].tolist(), float), e["vec_id"].to_numpy()
+    assert set(got["query_id"]) == {i for i in ids if i % 20 == 0} and (got.groupby("query_id")["rank"].max() == 5).all()
     hit = total = 0
     for q, part in got.groupby("query_id"):
         d = ((x - x[ids == q]) ** 2).sum(axis=1)
         d[ids == q] = np.inf
-        true = set(ids[np.argsort(d)[:5]])
-        hit, total = hit + len(true & set(part["vec_id"])), total + 5
+        hit, total = hit + len(set(ids[np.argsort(d)[:5]]) & set(part["vec_id"])), total + 5
+    print(sf, hit / total)
     assert hit / total >= 0.9
 
 
-@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
-def test_ivf_answers_every_query(spark, sf):
-    got = suite.queries()["ivf_ann"](spark, sf).toPandas()
-    want = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
-    assert set(got["query_id"]) == want and (got.groupby("query_id")["rank"].max() == 5).all()
+def test_few_lists_suffice_where_vectors_cluster(spark, tmp_path):
+    import numpy as np
+
+    from tessera.operators.knn import IvfIndex
+
+    rng = np.random.default_rng(0)
+    middle = rng.normal(size=(40, 16))
+    x = middle[rng.integers(0, 40, 4000)] + 0.1 * rng.normal(size=(4000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<float>")
+    index = IvfIndex.build(rows, "v", 40, f"file://{tmp_path}/ix")
+    probes = index.calibrate(5, 0.95, "vec_id")
+    assert probes <= 4
+    got = index.search_many(rows.where("vec_id % 20 = 0"), "vec_id", "v", 5, probes, "vec_id").toPandas()
+    hit = 0
+    for q, part in got.groupby("query_id"):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:5]) & set(part["vec_id"]))
+    assert hit / (5 * 200) >= 0.9
