@@ -8,11 +8,14 @@ run, remainders go longest first to the first sequence with room, which a
 tournament tree over the sequences' free space finds in logarithmic time.
 
 Defined results: a null text is an empty one and has the end token alone.  Rows
-that repeat an id are packed one by one.  Sequence numbers are unique, not dense.
+that repeat an id are packed one by one.  Texts of any length are encoded whole.  Pieces of
+equal length go in the order they have after the deal.  Sequence numbers are unique, not
+dense.  Columns beyond doc_id and text are not read; no rows give none.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,10 +37,11 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\\[-`{-~]*)")
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never merges across it, so a text's ids
+    ``TOKENIZER`` drops white space and never merges across it, so a text's ids
     are those of its words in order; words are kept in two generations of a
     bounded cache.  Plain words (Latin letters, then ASCII punctuation) skip the
     pattern matching of the pre-tokenizer: they are exactly two of its pieces.
+    Other tokenizers encode each text as a whole.
     """
 
     LIMIT = 250_000
@@ -46,6 +50,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        self.by_word = os.path.basename(path) == TOKENIZER
         self.model = self.whole.model
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.new: dict[bytes, bytes] = {}
@@ -71,6 +76,8 @@ class Encoder:
         return self._pack(ids)
 
     def text(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         words = text.encode().split()  # bytes split at ASCII white space only
         got = list(map(self.new.get, words))
         if None in got:
