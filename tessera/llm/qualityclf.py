@@ -3,12 +3,16 @@
 Texts become vectors of transformed counts.  Each class has a mean and a
 covariance shrunk towards the pooled diagonal; its Cholesky factor is computed
 once and kept.  A text's score is the logistic of the difference of the classes'
-Mahalanobis log-densities plus the log prior odds.  Moments are sums, so training
-is one grouped aggregate over all labelled documents, whatever their number.
+Mahalanobis log-densities plus the log prior odds.  Moments are sums about the overall
+mean, which keeps their differences exact, so training is two aggregates over all
+labelled documents, whatever their number.
 
 Defined results: null and empty texts have all counts zero and get a score too.
 With no labelled document of one class the score is the share of label 1 among
-the labelled ones, and 0.5 when there are none.
+the labelled ones, and 0.5 when there are none.  A document with equal densities
+scores the prior; a score of 0.5 counts as label 1.  Texts are counted whole, however long.
+Each row of a repeated id is scored, and each of its rows and labels is learned from.  Labels
+other than 0 and 1 and columns beyond those named are not read.  No rows give none.
 """
 
 from __future__ import annotations
@@ -54,8 +58,8 @@ def vectors(docs: DataFrame) -> DataFrame:
 class Discriminant:
     """Two Gaussians with shrunk covariances."""
 
-    def __init__(self, moments: dict[int, tuple[float, np.ndarray, np.ndarray]]):
-        """moments: class to (count, sum of x, sum of x times its transpose)."""
+    def __init__(self, moments: dict[int, tuple[float, np.ndarray, np.ndarray]], centre: np.ndarray | None = None):
+        """moments: class to (count, sum of x, sum of x times its transpose), x taken from ``centre``."""
         self.parts = []
         n = {k: m[0] for k, m in moments.items()}
         total = sum(n.values())
@@ -75,7 +79,7 @@ class Discriminant:
             shrunk = (1 - a) * cov[k] + a * np.diag(pooled) + 1e-6 * np.diag(pooled)
             factor = np.linalg.cholesky(shrunk)
             inverse = np.linalg.inv(factor)
-            self.parts.append((mean[k], inverse, float(np.log(np.diag(factor)).sum()), float(np.log(n[k] / total))))
+            self.parts.append((mean[k] if centre is None else mean[k] + centre, inverse, float(np.log(np.diag(factor)).sum()), float(np.log(n[k] / total))))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -90,15 +94,17 @@ class Discriminant:
 def fit(labelled: DataFrame) -> Discriminant:
     """From rows (x, quality): sums of each class, one row each."""
     d = len(FEATURES)
-    x = [F.col("x")[i] for i in range(d)]
+    labelled = labelled.where("quality IN (0, 1)")
+    centre = [float(m or 0.0) for m in labelled.agg(*[F.avg(F.col("x")[i]) for i in range(d)]).first()]
+    x = [F.col("x")[i] - F.lit(m) for i, m in enumerate(centre)]
     sums = [F.sum(v) for v in x] + [F.sum(x[i] * x[j]) for i in range(d) for j in range(i + 1)]
     moments = {}
-    for r in labelled.where("quality IN (0, 1)").groupBy("quality").agg(F.count("*"), *sums).collect():
+    for r in labelled.groupBy("quality").agg(F.count("*"), *sums).collect():
         ss = np.zeros((d, d))
         ss[np.tril_indices(d)] = r[2 + d :]
         ss = ss + np.tril(ss, -1).T
         moments[int(r[0])] = (float(r[1]), np.array(r[2 : 2 + d], float), ss)
-    return Discriminant(moments)
+    return Discriminant(moments, np.array(centre))
 
 
 def scorer(spark, model: Discriminant):
