@@ -8,10 +8,15 @@ of sources.  Weights become whole documents: a source that is read e times gives
 each document floor(e) copies, and its remaining fraction of tokens is spent in
 blocks: documents are dealt into blocks of about ``BLOCK`` by a digest, permuted in
 each block, and taken while the block's share of the budget lasts.  Only blocks,
-never sources, meet in one task.
+never sources, meet in one task.  ``position`` is a document's place in its block's permutation, from 0,
+and ``block_docs`` the block's size: copy c (from 0) of a document is number c * block_docs + position
+of what is read of the block, without gaps, as the documents that the last pass takes are the first.
 
 Defined results: tokens are words ``[^\\x20\\x09-\\x0D]+``; null text has none.  A null
 source is a source of its own.  A source without tokens keeps one copy of each document.
+Rows that repeat an id are dealt to one block and taken one by one, in no fixed order where
+they have as many tokens; texts are counted whole, however long; columns beyond those named
+and ``carry`` are not read.  Without rows there are none.
 """
 
 from __future__ import annotations
@@ -78,9 +83,9 @@ def exponent(shares: DataFrame, target_entropy: float | None, max_repeats: float
     return a, z, math.log(z) - a * zl / z
 
 
-def mix(docs: DataFrame, target_entropy: float | None = 0.5, max_repeats: float | None = 4.0, budget_share: float | None = 1.0) -> DataFrame:
-    """(doc_id, text, source) to doc_id, source, n_tokens, weight, epochs, block, copies."""
-    counted = stash(docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")), "tokens")
+def mix(docs: DataFrame, target_entropy: float | None = 0.5, max_repeats: float | None = 4.0, budget_share: float | None = 1.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, source) to doc_id, source, n_tokens, weight, epochs, block, position, block_docs, copies, and the columns ``carry``."""
+    counted = stash(docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), *carry), "tokens")
     sources = stash(counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")), "sources")
     r = sources.agg(F.sum("tokens"), F.count("*")).first()
     total, n_sources = float(r[0] or 0), r[1]
@@ -98,8 +103,8 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.5, max_repeats: float
     rows = rows.withColumn("d", digest(F.col("doc_id"))).withColumn("block", F.conv(F.substring("d", 1, 8), 16, 10).cast("long") % F.col("blocks"))
     block = Window.partitionBy("source", "block")
     order = block.orderBy("d", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.sum("n_tokens").over(order)).withColumn("all", F.sum("n_tokens").over(block))
+    rows = rows.select("*", F.sum("n_tokens").over(order).alias("upto"), (F.count("*").over(order) - 1).alias("position"), F.sum("n_tokens").over(block).alias("all"), F.count("*").over(block).alias("block_docs"))
     whole = F.floor("epochs")
     taken = F.col("upto") - F.col("n_tokens") / 2 < (F.col("epochs") - whole) * F.col("all")
     copies = (whole + F.when(taken, 1).otherwise(0)).cast("int")
-    return rows.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "epochs", "block", copies.alias("copies"))
+    return rows.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "epochs", "block", "position", "block_docs", copies.alias("copies"), *carry)

@@ -192,9 +192,10 @@ SQL = {
                 CAST('0x' || substr(d, 1, 8) AS BIGINT) % CAST(ceil(docs / 4096) AS BIGINT) AS block
             FROM tok JOIN plan ON tok.source IS NOT DISTINCT FROM plan.source),
         summed AS (
-            SELECT *, sum(n_tokens) OVER (PARTITION BY source, block ORDER BY d, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto, sum(n_tokens) OVER (PARTITION BY source, block) AS every
+            SELECT *, sum(n_tokens) OVER (PARTITION BY source, block ORDER BY d, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto, sum(n_tokens) OVER (PARTITION BY source, block) AS every,
+                row_number() OVER (PARTITION BY source, block ORDER BY d, doc_id, n_tokens) - 1 AS position, count(*) OVER (PARTITION BY source, block) AS block_docs
             FROM dealt)
-        SELECT doc_id, source, n_tokens, weight, epochs, block, CAST(floor(epochs) + CASE WHEN upto - n_tokens / 2.0 < (epochs - floor(epochs)) * every THEN 1 ELSE 0 END AS INTEGER) AS copies FROM summed""",
+        SELECT doc_id, source, n_tokens, weight, epochs, block, position, block_docs, CAST(floor(epochs) + CASE WHEN upto - n_tokens / 2.0 < (epochs - floor(epochs)) * every THEN 1 ELSE 0 END AS INTEGER) AS copies FROM summed""",
     "op9_no_random_access_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
