@@ -41,8 +41,8 @@ from .common import components, stash
 K, CAP, PIVOTS, LISTS, SHINGLE = 64, 48, 8, 4, 5
 #: Pairs of full sets in one Arrow batch.
 VERIFY_ROWS = 200
-#: Sets of members and of askers in one block of a long list.
-MEMBERS, OUTSIDERS = 2048, 512
+#: Hashes in the sets of the members and of the askers in one block of a long list; a larger set is a block's only one.
+MEMBERS, OUTSIDERS = 1 << 20, 1 << 18
 NUM, DEN = 75, 100
 MISS = 1e-8
 SKETCH = "struct<n:int,fp1:long,fp2:long,sketch:array<long>>"
@@ -195,12 +195,13 @@ def _long_links(full: DataFrame, sizes: DataFrame, links: DataFrame, sets: DataF
     found = stash(_links(_pairs(pivots, few), sets), "links", VERIFY_ROWS)
     # Members outside a long list's main group meet all its other members, in blocks.
     groups = components(links.union(found))
-    placed = long.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("component"))
-    main = placed.groupBy("v", "component").count().groupBy("v").agg(
-        F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("m"), F.max("count").alias("most")).where("m > most")
+    placed = long.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    main = placed.groupBy("v", "component").agg(F.count("*").alias("count"), F.sum("n").alias("items")).groupBy("v").agg(
+        F.max_by("component", F.struct("count", "component")).alias("main"), F.max_by("items", F.struct("count", "component")).alias("inside"),
+        F.sum("items").alias("items"), F.sum("count").alias("m"), F.max("count").alias("most")).where("m > most")
     open_ = placed.join(main, "v")
     open_ = stash(open_.select("v", "rep", "component", (F.col("component") != F.col("main")).alias("outside"),
-        F.ceil(F.col("m") / MEMBERS).cast("int").alias("nm"), F.ceil((F.col("m") - F.col("most")) / OUTSIDERS).cast("int").alias("no")), "open")
+        F.ceil(F.col("items") / MEMBERS).cast("int").alias("nm"), F.ceil((F.col("items") - F.col("inside")) / OUTSIDERS).cast("int").alias("no")), "open")
     own = open_.groupBy("rep").agg(F.array_sort(F.collect_list("v")).alias("lists"))
     full_sets = own.join(sets.select("rep", "items"), "rep")
     at = F.xxhash64("rep")
