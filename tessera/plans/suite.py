@@ -124,11 +124,14 @@ def float_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_quantity"), 2).alias("s")).select("l_returnflag", exprs.fmt_num(F.col("s")).alias("text"))
 
 
-@query("SELECT 1.5 AS a, 3.4028234663852886e38 AS b, 127.0 AS c, 4.0 AS d, -7.0 AS e")
+@query("SELECT r_regionkey AS k, r_regionkey * 3 / 2.0 AS a, 3.4028234663852886e38 AS b, CAST(r_regionkey AS DOUBLE) AS c, 120.0 + r_regionkey AS d, -(r_regionkey + 4.0) AS e FROM region")
 def calc_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CALC on values of a small table: quotients, division by zero, text that begins with a number or not."""
     from .statements import calc
 
-    return spark.range(1).select(*[F.lit(float(calc(x))).alias(n) for n, x in (("a", "3/2"), ("b", "20/0"), ("c", '"123"+4'), ("d", '"abc"+4'), ("e", "-(3+4)*1"))])
+    forms = ("{0}*3/2", "{0}/0", "'{1}'+{0}", '"120x"+{0}', "-({0}+4)*1")
+    rows = [(k, *[float(calc(f.format(k, name))) for f in forms]) for k, name in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()]
+    return spark.createDataFrame(rows, "k int, a double, b double, c double, d double, e double")
 
 
 # Aggregation.
@@ -290,10 +293,12 @@ def vec_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first(spark, sf_dir).where("embedding > q").select(F.col("vec_id").alias("x"))
 
 
-@query("SELECT 1 AS id, 3.0 AS dim, 6.0 AS total")
+@query("SELECT vec_id AS id, CAST(len(embedding) AS DOUBLE) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
 def vec_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors.parse(F.lit("[1,2,3]"), 3)
-    return spark.range(1).select(F.lit(1).alias("id"), F.size(v).cast("double").alias("dim"), F.aggregate(v.cast("array<double>"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    """Vectors from their text form."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", vectors.parse(F.to_json("embedding"), 64).alias("v"))
+    total = F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return rows.select(F.col("vec_id").alias("id"), F.size("v").cast("double").alias("dim"), F.round(total, 4).alias("total"))
 
 
 #: A fixed query vector, made from a rule.
@@ -474,3 +479,76 @@ def stmt_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not e.nearest(sql)[1]:
         raise RuntimeError("the index is not used")
     return e.query(sql)
+
+
+@query("SELECT c_custkey AS id, c_nationkey AS nation FROM customer UNION ALL SELECT -1, 3")
+def stmt_unique_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique and multi-column indexes, a key that repeats, DROP INDEX."""
+    e = _customers(spark, sf_dir)
+    _run(e, "create unique index u on t(name)", "create index m on t(nation, seg)", "drop index m on t", "insert into t values (-1, 'new', 3, 0.5, 'x')")
+    for bad in ("insert into t values (-2, 'new', 3, 0.5, 'x')", "insert into t values (1, 'other', 3, 0.5, 'x')", "create unique index w on t(nation)", "drop index m on t", "create index u on t(bal)"):
+        if e.execute(bad).ok:
+            raise RuntimeError(f"{bad} was accepted")
+    return e.query("select id, nation from t")
+
+
+@query("SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY c_nationkey")
+def stmt_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that must fail leave the table as it was."""
+    e = _customers(spark, sf_dir)
+    for bad in ("select sum(name) from t", "select min(*) from t", "select count(id, nation) from t", "select id, count(*) from t group by nation", "select id from t where id = (select id from t)",
+                "select id from t where id = (select * from t)", "update t set nope = 1", "update t set nation = 'x'", "delete from t where nope = 1", "update gone set a = 1", "insert into t values (1)",
+                "set nope = 1", "create table t(id int)", "drop table gone", "desc gone", "nonsense"):
+        r = e.execute(bad)
+        if r.text() != "FAILURE":
+            raise RuntimeError(f"{bad} was accepted")
+    return e.query("select nation, count(*) as n from t group by nation")
+
+
+@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def stmt_cost_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joins by the statistics of ANALYZE TABLE."""
+    e = _engine(spark)
+    for name, source, fields in (("s", "supplier", (("sk", "int", "s_suppkey"), ("nk", "int", "s_nationkey"))), ("n", "nation", (("k", "int", "n_nationkey"), ("name", "char", "n_name")))):
+        e.catalog.create(name, [Field(f, kind, 25) for f, kind, _ in fields])
+        v = e.catalog.current(name)
+        e.catalog.publish(name, dml.insert(e.catalog, name, table(spark, sf_dir, source).select(*[F.col(c).alias(f) for f, _, c in fields]), v), v.number)
+    _run(e, "set use_cascade = 1", "analyze table s", "analyze table n")
+    sql = "select s.sk as s_suppkey, n.name as n_name from s, n where s.nk = n.k"
+    if "HASH_JOIN" not in e.execute("explain " + sql).text():
+        raise RuntimeError("the cheaper join is not chosen")
+    return e.query(sql)
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, CASE WHEN user_id % 3 = 0 THEN 'b' ELSE 'a' END AS value FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 5 <> 0")
+def kv_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of puts and removals, a write from an old version that must fail, compaction, scan."""
+    from ..operators.kv import KeyValueStore
+    from ..sources.catalog import CatalogError
+
+    kv = KeyValueStore(spark, scratch(spark, "kv"))
+    keys = table(spark, sf_dir, "events").select("user_id").distinct()
+    pair = lambda rows, value: rows.select(F.col("user_id").cast("string").alias("key"), F.lit(value).alias("value"))
+    kv.put(pair(keys, "a"))
+    old = kv.pin()
+    kv.put(pair(keys.where("user_id % 3 = 0"), "b"))
+    kv.remove(pair(keys.where("user_id % 5 = 0"), ""))
+    try:
+        kv.put(pair(keys, "late"), old)
+    except CatalogError:
+        kv.compact()
+        return kv.scan()
+    raise RuntimeError("a write from an old version was accepted")
+
+
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of delimited files, appended to a table by a stream."""
+    from ..streaming.ingest import follow
+
+    e = _engine(spark)
+    path = scratch(spark, "stream")
+    table(spark, sf_dir, "supplier").select(F.concat_ws("|", "s_suppkey", "s_name").alias("value")).repartition(3).write.text(path)
+    _run(e, "create table s(id int, name char(25))")
+    follow(spark, e.catalog, "s", path, scratch(spark, "stream-state")).awaitTermination()
+    return e.query("select id, name from s")
