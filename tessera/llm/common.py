@@ -28,7 +28,8 @@ def scratch_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str, batch_rows: int = 2000) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Arrow batches to and from Python hold at most ``batch_rows`` rows meanwhile.
+    Arrow batches to and from Python hold at most ``batch_rows`` rows meanwhile.  The files stay
+    until ``release`` or until the folder is cleaned.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -39,7 +40,40 @@ def stash(df: DataFrame, name: str, batch_rows: int = 2000) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of stashed tables that no plan reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df._stashed)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Bits of the filter of ``hit_or_not`` at least and at most (16 MB), and in one row of it.
+LEAST_BITS, MOST_BITS, FILTER_PAGE = 1 << 20, 1 << 27, 1 << 15
+
+
+def hit_or_not(rows: DataFrame, key: Column, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose key may be among ``hits`` (one column of longs) and those whose key is not.
+
+    The keys make a bitmap of 16 to 32 bits a key that is broadcast, so the second part needs no shuffle.  It has
+    ``MOST_BITS`` at most; with very many keys it fills, and the first part is all rows.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * hits.count()).bit_length()))
+    place = F.pmod(F.col(hits.columns[0]), F.lit(bits))
+    pages = hits.select(place.alias("p")).groupBy(F.floor(F.col("p") / FILTER_PAGE).cast("int").alias("_page")).agg(
+        F.bitmap_construct_agg(F.col("p") % FILTER_PAGE).alias("_bits"))
+    pages = F.broadcast(stash(pages, "filter"))
+    at = F.pmod(key, F.lit(bits))
+    named = rows.select(F.struct("*").alias("_row"), F.floor(at / FILTER_PAGE).cast("int").alias("_page"), (at % FILTER_PAGE).cast("int").alias("_at"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.pow(F.lit(2), F.col("_at") % 8).cast("int")) != 0
+    found = named.join(pages, "_page", "left").select("_row", F.coalesce(bit, F.lit(False)).alias("_hit"))
+    return found.where("_hit").select("_row.*"), found.where("NOT _hit").select("_row.*")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,29 +85,26 @@ def id_bucket(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): (node, component) for each node but the smallest of its
     group, which is the component.
 
-    Alternating large-star and small-star steps: every step is a grouped minimum
+    Alternating large-star and small-star steps until nothing changes: every step is a grouped minimum
     and an equi-join, so nothing is gathered in one task or on the driver, and a
     group of any size shrinks to a star in logarithmically many steps.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = stash(edges, "links")
-    last = None
-    for _ in range(rounds):
+    last = now = None
+    while now is None or now != last:
+        last = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = stash(small.where("u <> v").distinct(), "links")
+        before, edges = edges, stash(small.where("u <> v").distinct(), "links")
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

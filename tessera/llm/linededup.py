@@ -4,7 +4,8 @@ Every three consecutive lines of a text are a window.  A window that also stands
 earlier (in a smaller id, or before it in the same text) is a later occurrence; the
 lines that later occurrences cover, merged, are removed.  Windows meet by a 64-bit
 hash: a grouped minimum finds each repeated window's first place, and only windows
-that repeat go on.
+that repeat go on.  Texts without a later occurrence stay where they are read; only the others
+are shuffled, to meet their places by id and a hash of the text.
 
 Defined results: lines are the pieces between ``\\n``; null text has none and stays null.
 Texts of fewer than three lines have no window.  Windows of three lines without
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import hit_or_not, stash
 
 WINDOW = 3
 
@@ -32,20 +33,22 @@ def _windows(lines: Column) -> Column:
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (rid, starts): first lines of the later occurrences in each text; rid is xxhash64(doc_id, text)."""
+    """(doc_id, text) to (doc_id, rid, starts): first lines of the later occurrences in each text; rid is xxhash64(doc_id, text)."""
     lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.split("text", "\n", -1).alias("lines"))
     rows = lines.where(F.size("lines") >= WINDOW).select("doc_id", "rid", F.inline(_windows(F.col("lines"))))
     first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     first = stash(first, "windows")  # else the join keeps the sum's partitions and cannot split a hot window
     later = rows.join(first, "h").where(F.struct("doc_id", "pos") > F.col("first"))
-    return later.groupBy("rid").agg(F.collect_set("pos").alias("starts"))
+    return later.groupBy("doc_id", "rid").agg(F.collect_set("pos").alias("starts"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any more columns) with the lines left in ``text``, and n_lines, n_removed in a struct ``lines``."""
-    found = covered(docs.select("doc_id", "text"))
+    found = stash(covered(docs.select("doc_id", "text")), "covered").withColumnsRenamed({"doc_id": "id", "rid": "rid2"})
     rid = F.xxhash64("doc_id", "text")
-    rows = docs.select(F.struct("*").alias("row"), rid.alias("rid")).join(found, "rid", "left")
+    maybe, rest = hit_or_not(docs, rid, found.select("rid2"))
+    rows = maybe.select(F.struct("*").alias("row"), rid.alias("rid")).join(found, (F.col("row.doc_id") == F.col("id")) & (F.col("rid") == F.col("rid2")), "left").select("row", "starts")
+    rows = rows.union(rest.select(F.struct("*").alias("row"), F.lit(None).cast("array<int>").alias("starts")))
     lines = F.split("row.text", "\n", -1)
     n = F.coalesce(F.size(lines), F.lit(0))
     n = F.when(F.col("row.text").isNull(), 0).otherwise(n)

@@ -97,6 +97,20 @@ def test_language_id(spark, docs, none):
             assert (d["lang"], d["score"]) == ("und", 0)
         elif len(r["text"]) > 200:
             assert d["lang"] == ("fr" if "été" in r["text"] else "en") and 0.9 < d["score"] <= 1
+    # Predictions and scores are those of the code lengths.
+    from tessera.llm import textops as tx
+    from tessera.llm.langid import PAD, fit
+
+    import pyarrow as pa
+
+    model = fit(docs.where("doc_id < 40 AND doc_id % 5 <> 0"))
+    for r in got[:30]:
+        if r["detected"]["lang"] != "und":
+            padded = PAD + r["text"].lower()
+            bits = model.code_lengths(tx.text_batch(pa.array([padded])))[0]
+            assert r["detected"]["lang"] == model.langs[int(bits.argmin())]
+            assert r["detected"]["score"] == pytest.approx(1 / sum(2.0 ** -min(b - bits.min(), 1000) for b in bits))
+            assert r["detected"]["bits_per_byte"] == pytest.approx(bits.min() / (len(padded.encode()) - len(PAD)))
     assert {r["detected"]["lang"] for r in detect(docs, none).collect()} == {"und"}
     assert detect(none, docs).count() == 0
 
@@ -195,6 +209,21 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_near_duplicates_of_long_texts(spark):
+    """Texts of tens of thousands of words, near copies and others, beside short ones that they contain."""
+    from tessera.llm.neardup import near_duplicates
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(0, 12, 3):
+        w = [f"w{rng.randint(0, 99_999)}" for _ in range(30_000)]
+        rows.append((i, " ".join(w)))
+        rows.append((i + 1, " ".join(w[:28_000])))
+        rows.append((i + 2, " ".join(w[:200])))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - 1 if i % 3 == 1 else i for i, _ in rows}
+
+
 def test_quality_rules(docs, none):
     from tessera.llm.quality import judge
 
@@ -326,6 +355,47 @@ def test_quality_classifier(spark, docs, none):
     assert classify(none.select("doc_id", "text"), y).count() == 0
 
 
+def test_discriminant_matches_direct_computation(spark, docs):
+    """Scores against densities from numpy's covariances and determinants, with features worked out from the texts."""
+    import string
+
+    from tessera.llm.qualityclf import FEATURES, SHRINK, classify
+
+    def features(text):
+        w, text = words_of(text), text or ""
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        count = Counter(grams)
+        covered = {k + j for k, g in enumerate(grams) if count[g] > 1 for j in range(5)}
+        n, chars = len(w), len(text)
+        among = lambda kinds: sum(c in kinds for c in text)
+        pairs = [(sum(map(len, w)), n), (among("#*$%&|<>"), n), (among(string.ascii_uppercase), chars), (among(string.digits), chars), (among(string.punctuation), chars),
+                 (len(lines) - len(set(lines)), len(lines)), (len(covered), n), (len(lines), n), (len(set(w)), n)]
+        return [math.log1p(n)] + [math.log((a + 0.5) / (b + 1)) for a, b in pairs]
+
+    rng = random.Random(4)
+    rows = [(i, "\n".join(sentence(rng, [f"W{k}x" if rng.random() < 0.1 + 0.3 * (i % 2) else f"w{k}" for k in range(60)], rng.randint(3, 40)) for _ in range(rng.randint(1, 6)))) for i in range(240)]
+    rows += [(r[0] + 1000, r[1]) for r in ROWS if r[0] is not None]
+    labels = [(i, i % 2 if i % 11 else 1 - i % 2) for i in range(200)] + [(201, 7), (5000, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 AS x", "1 AS quality").repartition(3)
+    got = sorted((r["doc_id"], r["score"]) for r in classify(d, spark.createDataFrame(labels, "doc_id long, quality int")).collect())
+    x = {i: np.array(features(t)) for i, t in rows}
+    cov, mean, n = {}, {}, {}
+    for k in (0, 1):
+        own = np.array([x[i] for i, y in labels if y == k and i in x])
+        cov[k], mean[k], n[k] = np.cov(own.T, bias=True), own.mean(axis=0), len(own)
+    pooled = np.maximum(sum(n[k] * np.diag(cov[k]) for k in cov) / sum(n.values()), 1e-6)
+    weight = SHRINK * len(FEATURES)
+    full = {k: (1 - weight / (n[k] + weight)) * cov[k] + (weight / (n[k] + weight) + 1e-6) * np.diag(pooled) for k in cov}
+
+    def log_density(k, v):
+        return math.log(n[k] / sum(n.values())) - 0.5 * np.linalg.slogdet(full[k])[1] - 0.5 * (v - mean[k]) @ np.linalg.solve(full[k], v - mean[k])
+
+    want = sorted((i, 1 / (1 + math.exp(min(700, max(-700, log_density(0, features(t)) - log_density(1, features(t))))))) for i, t in rows)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-7, atol=1e-9) and 0.05 < np.mean([s > 0.5 for _, s in want]) < 0.95
+
+
 def test_encoder_equals_the_tokenizer():
     import public_tokenizers
     from hypothesis import given, settings
@@ -367,6 +437,10 @@ def test_packing(docs, none):
     for s in map(sorted, sequences.values()):
         assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and s[-1][0] + s[-1][1] <= SEQ
     assert pack(none.select("doc_id", "text")).count() == 0
+    # Little padding: all sequences but the last of each group are nearly full.
+    many = docs.sparkSession.createDataFrame([(i, "word " * random.Random(i).randint(1, 900)) for i in range(4000)], "doc_id long, text string").repartition(2)
+    full = pack(many).groupBy("sequence_id").sum("length").collect()
+    assert sum(r[1] for r in full) / (SEQ * len(full)) > 0.98
     # First fit decreasing against a plain scan of the bins.
     rng = random.Random(2)
     lengths = [rng.randint(1, SEQ - 1) for _ in range(700)]
@@ -542,6 +616,10 @@ def test_mixing(spark, docs, none):
         read[r["source"]] += r["copies"] * r["n_tokens"]
         weight[r["source"]] = r["weight"]
         assert r["epochs"] - 1 < r["copies"] < r["epochs"] + 1
+    blocks = {}
+    for r in got:
+        blocks.setdefault((r["source"], r["block"]), []).extend(c * r["block_docs"] + r["position"] for c in range(r["copies"]))
+    assert all(sorted(p) == list(range(len(p))) for p in blocks.values())  # a permutation without gaps
     assert sum(tokens.values()) == sum(len(words_of(r[1])) for r in ROWS) and abs(sum(weight.values()) - 1) < 1e-6
     p = np.array([n for n in tokens.values() if n]) / sum(tokens.values())
     natural, w = -(p * np.log(p)).sum(), np.array([x for x in weight.values() if x])
@@ -674,6 +752,20 @@ def test_line_dedup(docs, none):
     assert dedup_lines(none.select("doc_id", "text")).count() == 0
 
 
+def test_hit_or_not(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.common import hit_or_not
+
+    rows = spark.range(0, 5000).select(F.col("id"), F.xxhash64("id").alias("k"), F.lit(1).alias("_bits"))
+    hits = rows.where("id % 7 = 0").select("k")
+    maybe, rest = hit_or_not(rows, F.col("k"), hits)
+    a, b = ({r["id"] for r in x.collect()} for x in (maybe, rest))
+    assert a | b == set(range(5000)) and not a & b and {i for i in range(5000) if i % 7 == 0} <= a and len(a) < 800 and maybe.columns == rows.columns
+    maybe, rest = hit_or_not(rows, F.col("k"), hits.limit(0))
+    assert maybe.count() == 0 and rest.count() == 5000
+
+
 def test_components(spark):
     from tessera.llm.common import components
 

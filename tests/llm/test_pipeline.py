@@ -32,9 +32,22 @@ def test_stages(spark, pipeline):
     assert sorted(((r["doc_id"], r["text"]) for r in after), key=str) == sorted(want, key=str)
     before, after = seen["near_dedup"]
     root = components_of([(r["doc_id"], r["text"]) for r in before])
-    assert Counter(r["doc_id"] for r in after) == Counter(r["doc_id"] for r in before if r["doc_id"] is None or root[r["doc_id"]] == r["doc_id"])
+    want = Counter({r["doc_id"]: 1 for r in before if r["doc_id"] is not None and root[r["doc_id"]] == r["doc_id"]})
+    want[None] = sum(r["doc_id"] is None for r in before)
+    assert Counter(r["doc_id"] for r in after) == +want
+    first = {}
+    for r in before:
+        first[r["doc_id"]] = min(first.get(r["doc_id"], r["text"]), r["text"])
+    assert all(r["text"] == first[r["doc_id"]] for r in after if r["doc_id"] is not None)
     before, after = seen["mixing"]
     assert {(r["doc_id"], r["text"]) for r in after} == {(r["doc_id"], r["text"]) for r in before} and len(after) >= len(before)
+    tokens, copies = Counter(), Counter()
+    for r in before:
+        tokens[r["source"]] += len(words_of(r["text"]))
+    for r in after:
+        copies[r["source"]] += len(words_of(r["text"]))
+    most = max(tokens, key=tokens.get)
+    assert copies[most] == tokens[most] and all(tokens[s] <= copies[s] <= 2 * tokens[s] + max(len(words_of(r["text"])) for r in before) for s in tokens)
     before, after = seen["packing"]
     assert sum(r["length"] for r in after) >= sum(len(words_of(r["text"])) for r in before)
     assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before}
