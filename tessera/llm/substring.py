@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import stash
+from .common import hit_or_not, release, stash
 
 WINDOW, GRAM, HOT = 50, 24, 2000
 SPAN = WINDOW - GRAM + 1
@@ -233,7 +233,7 @@ def _strip(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 
 
 def matched_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (rid, found): for each text, the runs (a, n) of windows that start in a smaller id;
+    """(doc_id, text) to (doc_id, rid, found): for each text, the runs (a, n) of windows that start in a smaller id;
     rid is xxhash64(doc_id, text)."""
     rid = F.xxhash64("doc_id", "text").alias("rid")
     own = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -243,22 +243,31 @@ def matched_windows(docs: DataFrame) -> DataFrame:
     shared = flat.groupBy("mz").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("mz")
     shared = stash(shared, "minimizers")  # else the join keeps the sum's partitions and cannot split a hot one
     wanted = stash(flat.join(shared, "mz"), "shared")
+    release(base, shared)
     distinct = wanted.groupBy("mz", "h").agg(F.min(F.struct("doc", "rid", "at", "n")).alias("r"))
-    distinct = distinct.select("mz", "h", "r.*")
-    hot = distinct.groupBy("mz").count().where(F.col("count") > HOT).select("mz", F.lit(True).alias("hot"))
+    distinct = stash(distinct.select("mz", "h", "r.*"), "stretches")
+    hot = stash(distinct.groupBy("mz").count().where(F.col("count") > HOT).select("mz", F.lit(True).alias("hot")), "hot")
     cut = distinct.join(hot, "mz", "left").select("rid", "doc", F.struct("mz", "h", "at", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
-    cut = cut.groupBy("rid", "doc").agg(F.collect_list("x").alias("wanted"))
-    texts = own.select(rid, "text").join(cut, "rid").select("doc", "text", "wanted")
+    cut = stash(cut.groupBy("rid", "doc").agg(F.collect_list("x").alias("wanted")), "cuts")
+    release(distinct, hot)
+    texts, _ = hit_or_not(own.select(F.col("doc_id").alias("id"), F.col("text"), rid.alias("rid2")), F.col("rid2"), cut.select("rid"))
+    texts = texts.join(cut, (F.col("id") == F.col("doc")) & (F.col("rid2") == F.col("rid"))).select("doc", "text", "wanted")
     pieces = texts.mapInArrow(_stretches, "key long, mz long, h long, j int, doc long, words binary")
     dealt = pieces.repartition(F.col("key")).sortWithinPartitions("key", "doc", "h", "j")
     first = stash(dealt.mapInArrow(_match, "mz long, h long, j int, n int, first long"), "first")
     hits = wanted.select("rid", "doc", "mz", "h", "at").join(first, ["mz", "h"]).where("first < doc")
-    return hits.select("rid", F.struct((F.col("at") + F.col("j")).alias("a"), "n").alias("x")).groupBy("rid").agg(F.collect_set("x").alias("found"))
+    runs_of = hits.select("rid", "doc", F.struct((F.col("at") + F.col("j")).alias("a"), "n").alias("x"))
+    found = stash(runs_of.groupBy(F.col("doc").alias("doc_id"), "rid").agg(F.collect_set("x").alias("found")), "found")
+    release(wanted, cut, first)
+    return found
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to doc_id, n_words, n_removed and the digest of the words that stay."""
-    found = matched_windows(docs)
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid")).join(found, "rid", "left")
+    """(doc_id, text) to doc_id, n_words, n_removed and the digest of the words that stay. Only texts that lose words are shuffled for it."""
+    found = matched_windows(docs).withColumnsRenamed({"doc_id": "id", "rid": "rid2"})
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+    maybe, rest = hit_or_not(rows, F.col("rid"), found.select("rid2"))
+    hits = maybe.join(found, (F.col("doc_id") == F.col("id")) & (F.col("rid") == F.col("rid2")), "left").select("doc_id", "text", "found")
+    rows = hits.union(rest.select("doc_id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found")))
     out = F.arrow_udf(_strip, "struct<n_words:long,n_removed:long,kept_sha256:string>")(F.coalesce("text", F.lit("")), "found")
     return rows.select("doc_id", out.alias("s")).select("doc_id", "s.*")
