@@ -100,7 +100,7 @@ class IvfIndex:
         def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
                 q = _matrix(batch.column("v"))
-                near = np.argsort(gaps(centroids, q, distance, largest), axis=1, kind="stable")[:, :probes]
+                near = np.argsort(gaps(centroids, q, distance, largest), axis=1, kind="stable")[:, :probes] if len(centroids) > 1 else np.zeros((len(q), 1), int)
                 row = np.repeat(np.arange(len(q)), near.shape[1])
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(near.ravel().astype(np.int32))], ["id", "v", "cluster_id"])
 
@@ -160,3 +160,8 @@ def knn(df: DataFrame, column: str, q: list[float], k: int, distance: str = "l2_
         return index.search(q, k, probes, key)
     return exact(df, column, q, k, distance, key)
 
+
+def exact_many(df: DataFrame, column: str, queries: DataFrame, query_key: str, query_column: str, k: int, key: str, distance: str = "l2_distance") -> DataFrame:
+    """The k nearest for each row of ``queries`` among all rows, in blocks: (query_id, rank, key, distance)."""
+    rows = df.where(F.col(column).isNotNull()).withColumn("cluster_id", F.lit(0))
+    return IvfIndex(column, distance, rows, [[]]).search_many(queries, query_key, query_column, k, 1, key)

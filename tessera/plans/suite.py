@@ -336,6 +336,15 @@ def ivf_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "vec_id", F.round("distance", 5).alias("distance"))
 
 
+@query(f"""WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, round({DOT('e.embedding', 'q.embedding')}, 6) AS distance FROM embeddings e JOIN embeddings q ON e.vec_id <> q.vec_id WHERE q.vec_id % 25 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance DESC, vec_id) AS INTEGER) AS rank FROM d) SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 3""")
+def knn_exact_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest inner products with each of many queries, in blocks."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = knn.exact_many(rows, "embedding", rows.where("vec_id % 25 = 0"), "vec_id", "embedding", 3, "vec_id", "inner_product")
+    return found.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
 # Statements on versioned tables.
 def _engine(spark: SparkSession):
     from .statements import Engine
