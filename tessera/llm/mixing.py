@@ -45,12 +45,10 @@ def digest(doc_id: Column) -> Column:
 
 def _moments(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
     """(sum of p^a, sum of p^a ln p) for each exponent a."""
-    cols = []
-    for a in exponents:
-        w = F.pow("p", F.lit(a))
-        cols += [F.sum(w), F.sum(w * F.log("p"))]
-    r = shares.agg(*cols).first()
-    return [(r[2 * i], r[2 * i + 1]) for i in range(len(exponents))]
+    # Exponents are data, so Spark compiles one plan for all passes.
+    rows = shares.select("p", F.explode(F.array(*map(F.lit, exponents))).alias("a")).withColumn("w", F.pow("p", "a"))
+    found = {r["a"]: (r["z"], r["zl"]) for r in rows.groupBy("a").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("p")).alias("zl")).collect()}
+    return [found[a] for a in exponents]
 
 
 def exponent(shares: DataFrame, target_entropy: float | None, max_repeats: float | None, budget_share: float | None) -> tuple[float, float, float]:
