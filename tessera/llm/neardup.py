@@ -225,20 +225,26 @@ def _meet(block: pa.Table) -> pa.Table:
     # Which of the lists before this one each row stands on.
     this = block.column("v")[0].as_py()
     lat, lvalues = lists.offsets.to_numpy(), lists.values.to_numpy()
-    seen = np.unique(lvalues[lvalues < this])
-    on = np.zeros((len(asks), len(seen)), np.float32)
     row = np.repeat(np.arange(len(asks)), np.diff(lat))
     flat = lvalues[lat[0] : lat[-1]]
-    before = flat < this
-    on[row[before], np.searchsorted(seen, flat[before])] = 1
+    row, flat = row[flat < this], flat[flat < this]
+    seen, code = np.unique(flat, return_inverse=True)
     members, askers = np.flatnonzero(~asks), np.flatnonzero(asks)
+    place = np.full(len(asks), -1)
+    place[members] = np.arange(len(members))
+    theirs = place[row] >= 0
+    stands, stands_on = place[row[theirs]], code[theirs]
+    first, last = np.searchsorted(row, askers, "left"), np.searchsorted(row, askers, "right")
     everything = np.concatenate([own[r] for r in members]) if len(members) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(members)), sizes[members])
     by = np.argsort(everything, kind="stable")
     everything, owner = everything[by], owner[by]
     a, b = [], []
-    for x in askers:
-        near = (on[members] @ on[x] == 0) & (group[members] != group[x])
+    for x, lo, hi in zip(askers, first, last):
+        mark = np.zeros(len(seen), bool)
+        mark[code[lo:hi]] = True
+        earlier = np.bincount(stands[mark[stands_on]], minlength=len(members)) > 0
+        near = ~earlier & (group[members] != group[x])
         if not near.any():
             continue
         lo, hi = np.searchsorted(everything, own[x], "left"), np.searchsorted(everything, own[x], "right")
