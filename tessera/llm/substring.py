@@ -10,9 +10,10 @@ automaton over words whose states hold the first document; stretches stream
 through it in the order of their ids and the matching statistics give the
 first document of every window.  Matched windows merge into maximal spans.
 
-A shard with over ``HOT`` different stretches is dealt out again by whole
-windows, so that no automaton or task grows with a passage that stands in many
-different surroundings.  Automata are built next to their shard instead of being
+A shard with over ``HOT`` different stretches is cut into whole windows, so that no
+automaton or task grows with a passage that stands in many different surroundings: such
+windows meet by two 64-bit hashes, and a minimum summed up before the shuffle gives their
+first document.  Automata are built next to their shard instead of being
 broadcast: the reference is the whole corpus, so its automata have no size bound.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; null text has none.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textops as tx
 from .common import hit_or_not, release, stash
 
-WINDOW, GRAM, HOT = 50, 24, 2000
+WINDOW, GRAM, HOT = 50, 24, 500
 SPAN = WINDOW - GRAM + 1
 RUNS = "array<struct<mz:long,at:int,n:int,h:long>>"
 _PRIME = 0x9E3779B97F4A7C15 | 1
@@ -93,33 +94,40 @@ def runs(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the wanted stretches from texts; those of hot shards as single windows."""
-    names = ["key", "mz", "h", "j", "doc", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    for batch in batches:
-        out: list[list] = [[] for _ in names]
-        size = 0
-        for doc, text, wanted in zip(batch.column("doc"), batch.column("text"), batch.column("wanted")):
-            words, doc = text.as_py().encode().split(), doc.as_py()
-            for x in wanted.as_py():
-                a, n, mz, h = x["at"], x["n"], x["mz"], x["h"]
-                if not x["hot"]:
-                    new = [(mz, mz, h, 0, doc, b" ".join(words[a : a + n + WINDOW - 1]))]
-                else:
-                    new = []
-                    for j in range(n):
-                        raw = b" ".join(words[a + j : a + j + WINDOW])
-                        new.append((xxhash.xxh64_intdigest(raw, 7) - (1 << 63), mz, h, j, doc, raw))
-                for values in new:
-                    for column, v in zip(out, values):
-                        column.append(v)
-                    size += len(values[5])
-            if size > 1 << 22:
+def _cut(take, names: list[str], kinds: list[pa.DataType]):
+    """A function of batches (doc, text, wanted) that puts out what ``take`` gives for each stretch, a few MB at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            size = 0
+            for doc, text, wanted in zip(batch.column("doc"), batch.column("text"), batch.column("wanted")):
+                words, doc = text.as_py().encode().split(), doc.as_py()
+                for x in wanted.as_py():
+                    for values in take(words[x["at"] : x["at"] + x["n"] + WINDOW - 1], x["mz"], x["h"], doc):
+                        for column, v in zip(out, values):
+                            column.append(v)
+                        size += 64 + (len(values[-1]) if isinstance(values[-1], bytes) else 0)
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+                    out, size = [[] for _ in names], 0
+            if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-                out, size = [[] for _ in names], 0
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+
+    return run
+
+
+def _whole(words: list[bytes], mz: int, h: int, doc: int) -> list[tuple]:
+    return [(mz, h, doc, b" ".join(words))]
+
+
+def _windows(words: list[bytes], mz: int, h: int, doc: int) -> list[tuple]:
+    """Two hashes of each window of a stretch."""
+    raw = [b" ".join(words[j : j + WINDOW]) for j in range(len(words) - WINDOW + 1)]
+    return [(mz, h, j, doc, xxhash.xxh64_intdigest(r, 7) - (1 << 63), xxhash.xxh64_intdigest(r, 11) - (1 << 63)) for j, r in enumerate(raw)]
+
+
+_stretches = _cut(_whole, ["mz", "h", "doc", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()])
+_hot_windows = _cut(_windows, ["mz", "h", "j", "doc", "x", "y"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])
 
 
 class Automaton:
@@ -195,10 +203,10 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, auto = None, Automaton()
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        rows = zip(*(batch.column(c).to_pylist() for c in ("key", "mz", "h", "j", "doc", "words")))
-        for k, mz, h, j, doc, raw in rows:
-            if k != key:
-                key, auto = k, Automaton()
+        rows = zip(*(batch.column(c).to_pylist() for c in ("mz", "h", "doc", "words")))
+        for mz, h, doc, raw in rows:
+            if mz != key:
+                key, auto = mz, Automaton()
             words = raw.split(b" ")
             found = auto.first_docs(words, WINDOW) if len(auto.link) > 1 else [None] * (len(words) - WINDOW + 1)
             if None in found:
@@ -207,7 +215,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = 0
             for b in range(1, len(found) + 1):
                 if b == len(found) or found[b] != found[a]:
-                    for column, v in zip(out, (mz, h, j + a, b - a, found[a])):
+                    for column, v in zip(out, (mz, h, a, b - a, found[a])):
                         column.append(v)
                     a = b
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
@@ -247,21 +255,32 @@ def matched_windows(docs: DataFrame) -> DataFrame:
     distinct = wanted.groupBy("mz", "h").agg(F.min(F.struct("doc", "rid", "at", "n")).alias("r"))
     distinct = stash(distinct.select("mz", "h", "r.*"), "stretches")
     hot = stash(distinct.groupBy("mz").count().where(F.col("count") > HOT).select("mz", F.lit(True).alias("hot")), "hot")
-    cut = distinct.join(hot, "mz", "left").select("rid", "doc", F.struct("mz", "h", "at", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
-    cut = stash(cut.groupBy("rid", "doc").agg(F.collect_list("x").alias("wanted")), "cuts")
+    kind = distinct.join(hot, "mz", "left").select("rid", "doc", F.struct("mz", "h", "at", "n").alias("x"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    cut = stash(kind.groupBy("rid", "doc", "hot").agg(F.collect_list("x").alias("wanted")), "cuts")
     release(distinct, hot)
-    texts, _ = hit_or_not(own.select(F.col("doc_id").alias("id"), F.col("text"), rid.alias("rid2")), F.col("rid2"), cut.select("rid"))
-    texts = texts.join(cut, (F.col("id") == F.col("doc")) & (F.col("rid2") == F.col("rid"))).select("doc", "text", "wanted")
-    pieces = texts.mapInArrow(_stretches, "key long, mz long, h long, j int, doc long, words binary")
-    dealt = pieces.repartition(F.col("key")).sortWithinPartitions("key", "doc", "h", "j")
+    whole = _texts(own, cut.where("NOT hot")).mapInArrow(_stretches, "mz long, h long, doc long, words binary")
+    dealt = whole.repartition(F.col("mz")).sortWithinPartitions("mz", "doc", "h")
     first = stash(dealt.mapInArrow(_match, "mz long, h long, j int, n int, first long"), "first")
+    done = [wanted, cut, first]
+    if cut.where("hot").limit(1).count():
+        windows = stash(_texts(own, cut.where("hot")).mapInArrow(_hot_windows, "mz long, h long, j int, doc long, x long, y long"), "windows")
+        least = stash(windows.groupBy("x", "y").agg(F.min("doc").alias("first")), "least")
+        done += [windows, least]
+        first = first.union(windows.join(least, ["x", "y"]).select("mz", "h", "j", F.lit(1).alias("n"), "first"))
     hits = wanted.select("rid", "doc", "mz", "h", "at").join(first, ["mz", "h"]).where("first < doc")
     runs_of = hits.select("rid", "doc", F.struct((F.col("at") + F.col("j")).alias("a"), "n").alias("x"))
     found = stash(runs_of.groupBy(F.col("doc").alias("doc_id"), "rid").agg(F.collect_set("x").alias("found")), "found")
-    release(wanted, cut, first)
+    release(*done)
     return found
 
 
+def _texts(own: DataFrame, cut: DataFrame) -> DataFrame:
+    """The texts of ``cut`` with what is wanted of them; others stay where they are read."""
+    rows = own.select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id", "text").alias("rid2"))
+    maybe, _ = hit_or_not(rows, F.col("rid2"), cut.select("rid"))
+    return maybe.join(cut, (F.col("id") == F.col("doc")) & (F.col("rid2") == F.col("rid"))).select("doc", "text", "wanted")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to doc_id, n_words, n_removed and the digest of the words that stay. Only texts that lose words are shuffled for it."""
     found = matched_windows(docs).withColumnsRenamed({"doc_id": "id", "rid": "rid2"})
