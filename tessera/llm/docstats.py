@@ -85,6 +85,7 @@ def count_batch(tb: tx.TextBatch) -> dict[str, np.ndarray]:
     return out
 
 
+@tx.tidied
 def counts(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """A struct of COUNTS for each text; null counts as empty."""
     for texts in it:

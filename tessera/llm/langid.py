@@ -257,7 +257,7 @@ def predictor(spark, model: Trees):
             yield predict_batch(known, texts, letters)
 
     run.__annotations__ = {"it": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    udf = F.arrow_udf(run, RESULT)
+    udf = F.arrow_udf(tx.tidied(run), RESULT)
 
     def apply(text: Column) -> Column:
         return udf(F.concat(F.lit(PAD), F.lower(F.coalesce(text, F.lit("")))), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))

@@ -88,6 +88,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(tx.signed(flat.astype(np.uint64))))
 
 
+@tx.tidied
 def sketch(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Set size, fingerprints and bottom-K sketch of each text."""
     for texts in it:
@@ -100,6 +101,7 @@ def sketch(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("sketch", pa.list_(pa.int64()))]))
 
 
+@tx.tidied
 def full_set(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in it:
         parts = []
@@ -109,6 +111,7 @@ def full_set(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("fp1", pa.int64()), ("fp2", pa.int64()), ("items", pa.list_(pa.int64()))]))
 
 
+@tx.tidied
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with both sets to those at the threshold: first by the sketches' union, then exactly."""
     for batch in batches:

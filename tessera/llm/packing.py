@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textops as tx
+
 SEQ, GROUP, END_ID = 2048, 8192, 1
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "struct<doc_tokens:long,pieces:array<struct<start:long,length:long,ids_crc32:long>>>"
@@ -44,7 +46,7 @@ class Encoder:
     Other tokenizers encode each text as a whole.
     """
 
-    LIMIT = 250_000
+    LIMIT = 60_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -135,7 +137,7 @@ def tokenized(tokenizer: str = TOKENIZER, seq: int = SEQ):
             yield pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pieces], ["doc_tokens", "pieces"]).cast(kind)
 
     run.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, PIECES)
+    return F.arrow_udf(tx.tidied(run), PIECES)
 
 
 class FirstFit:
@@ -174,6 +176,7 @@ def first_fit_decreasing(lengths: list[int], size: int = SEQ) -> list[tuple[int,
     return out
 
 
+@tx.tidied
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = TaskContext.get().partitionId() << 40
     held: list[pa.RecordBatch] = []

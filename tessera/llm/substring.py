@@ -79,6 +79,7 @@ def minimizer_runs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, .
     return row[a], gram[pos[head]], a - first[row[a]], n, tx.mix64(h + n.astype(np.uint64))
 
 
+@tx.tidied
 def runs(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.list_(pa.struct([("mz", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h", pa.int64())]))
     for texts in it:
@@ -197,6 +198,7 @@ class Automaton:
         return out
 
 
+@tx.tidied
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches sorted by shard and document to the first document of each of their windows, as runs."""
     names, kinds = ["mz", "h", "j", "n", "first"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
@@ -221,6 +223,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
 
+@tx.tidied
 def _strip(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Text and matched runs of windows to word counts, kept text and its digest."""
     for texts, spans in it:
