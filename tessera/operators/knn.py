@@ -26,6 +26,28 @@ from ..functions.vectors import DISTANCES
 FIT_ROWS, PROBE_QUERIES, BLOCK = 200_000, 64, 4096
 
 
+def _within(last: float, distance: str, within: float, scale: float) -> float:
+    """The gap up to which a row may still rank with one of gap ``last``: distances differ by less than ``within``, or by what the product of matrices is inexact."""
+    noise = 1e-12 * (1 + scale)
+    return (np.sqrt(max(last, 0.0)) + within + noise) ** 2 + noise if distance == "l2_distance" else last + within + noise
+
+
+def _distances(x: np.ndarray, q: np.ndarray, distance: str) -> np.ndarray:
+    """The distances of rows from one query, summed in the order of the expressions, so equal ones are equal here too."""
+    def total(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for i in range(x.shape[1]):
+            out += a[..., i] * b[..., i]
+        return out
+
+    if distance == "l2_distance":
+        return np.sqrt(total(x - q, x - q))
+    if distance == "inner_product":
+        return total(x, q)
+    norms = np.sqrt(total(x, x)) * np.sqrt(total(q, q))
+    return 1 - np.divide(total(x, q), norms, out=np.full(len(x), np.nan), where=norms > 0)
+
+
 def _literal(q: list[float]):
     return F.array(*[F.lit(float(x)) for x in q])
 
@@ -89,13 +111,17 @@ class IvfIndex:
         near = self.near(q, probes, self.distance == "inner_product")
         return exact(self.table.where(F.col("cluster_id").isin(near)), self.column, q, k, self.distance, key).drop("cluster_id")
 
-    def search_many(self, queries: DataFrame, query_key: str, query_column: str, k: int, probes: int, key: str) -> DataFrame:
+    def search_many(self, queries: DataFrame, query_key: str, query_column: str, k: int, probes: int, key: str, digits: int | None = None) -> DataFrame:
         """The k nearest for each row of ``queries``, but for the row itself: (query_id, rank, key, distance).
 
+        With ``digits``, distances are rounded before they are ranked; equal ones go by ``key``.
+
         Queries go to their nearest clusters; a cluster meets its queries in blocks of at most
-        ``BLOCK`` vectors and as many queries, as a product of matrices, and gives k rows for each query.
+        ``BLOCK`` vectors and as many queries, as a product of matrices, and gives for each query the rows that
+        may be among its k, at most k of one distance.
         """
         centroids, distance, largest = np.array(self.centroids), self.distance, self.distance == "inner_product"
+        within = 0.0 if digits is None else 10.0**-digits
 
         def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
@@ -109,13 +135,22 @@ class IvfIndex:
             out = []
             if len(ids) and len(qids):
                 x = _matrix(rows.column("v").combine_chunks())
+                longest = np.nanmax((x * x).sum(axis=1), initial=0.0)
                 for a in range(0, len(qids), 512):
                     q = _matrix(asked.column("v").combine_chunks().slice(a, 512))
                     d = gaps(x, q, distance, largest)
                     d[qids[a : a + 512, None] == ids] = np.inf
                     for j in range(len(q)):
-                        some = np.flatnonzero(d[j] <= np.partition(d[j], k - 1)[k - 1]) if len(ids) > k else np.arange(len(ids))
-                        best = some[np.lexsort((ids[some], d[j][some]))][:k]
+                        some = np.arange(len(ids))
+                        if len(ids) > k:
+                            last = np.partition(d[j], k - 1)[k - 1]
+                            some = np.flatnonzero(d[j] <= _within(last, distance, within, longest + (q[j] * q[j]).sum()))
+                        best = some
+                        if len(some) > k:
+                            own = _distances(x[some], q[j], distance)
+                            order = np.lexsort((ids[some], own))
+                            own = own[order]
+                            best = some[order[np.arange(len(own)) - np.searchsorted(own, own, "left") < k]]
                         best = best[d[j][best] < np.inf]
                         out.append((np.full(len(best), qids[a + j]), ids[best]))
             q, i = (np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((), ())))
@@ -134,6 +169,8 @@ class IvfIndex:
         found = found.join(self.table.select(F.col(key).cast("long").alias("id"), F.col(key).alias("_key"), F.col(self.column).alias("v")), "id")
         found = found.join(queries.select(F.col(query_key).cast("long").alias("query_id"), F.col(query_column).alias("q")), "query_id")
         found = found.select("query_id", F.col("_key").alias(key), DISTANCES[self.distance](F.col("v"), F.col("q")).alias("distance")).distinct()
+        if digits is not None:
+            found = found.withColumn("distance", F.round("distance", digits))
         order = Window.partitionBy("query_id").orderBy(F.desc("distance") if largest else F.asc("distance"), key)
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")
 
@@ -161,7 +198,7 @@ def knn(df: DataFrame, column: str, q: list[float], k: int, distance: str = "l2_
     return exact(df, column, q, k, distance, key)
 
 
-def exact_many(df: DataFrame, column: str, queries: DataFrame, query_key: str, query_column: str, k: int, key: str, distance: str = "l2_distance") -> DataFrame:
-    """The k nearest for each row of ``queries`` among all rows, in blocks: (query_id, rank, key, distance)."""
+def exact_many(df: DataFrame, column: str, queries: DataFrame, query_key: str, query_column: str, k: int, key: str, distance: str = "l2_distance", digits: int | None = None) -> DataFrame:
+    """The k nearest for each row of ``queries`` among all rows, in blocks: (query_id, rank, key, distance), distances rounded to ``digits`` if given."""
     rows = df.where(F.col(column).isNotNull()).withColumn("cluster_id", F.lit(0))
-    return IvfIndex(column, distance, rows, [[]]).search_many(queries, query_key, query_column, k, 1, key)
+    return IvfIndex(column, distance, rows, [[]]).search_many(queries, query_key, query_column, k, 1, key, digits)

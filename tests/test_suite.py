@@ -73,3 +73,22 @@ def test_few_lists_suffice_where_vectors_cluster(spark, tmp_path):
         d[q] = np.inf
         hit += len(set(np.argsort(d)[:5]) & set(part["vec_id"]))
     assert hit / (5 * 200) >= 0.9
+
+
+def test_ranks_are_of_rounded_distances(spark, tmp_path):
+    """Distances that are equal when rounded go by the key, however many lie at the last rank; copies of one vector too."""
+    from tessera.operators import knn
+
+    near = [[1 + i * 1e-9, 0.0] for i in range(9, -1, -1)]  # ever nearer, all at 1 after rounding
+    vectors = [[0.0, 0.0], *near, *[[1.0, 0.0]] * 12, [5.0, 5.0]]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, v array<double>").coalesce(1)
+    asked = rows.where("vec_id = 0")
+    got = knn.exact_many(rows, "v", asked, "vec_id", "v", 4, "vec_id", digits=5).collect()
+    assert sorted((r["rank"], r["vec_id"], r["distance"]) for r in got) == [(i, i, 1.0) for i in (1, 2, 3, 4)]
+    assert {r["vec_id"] for r in knn.exact_many(rows, "v", asked, "vec_id", "v", 4, "vec_id").collect()} == {10, 11, 12, 13}
+    index = knn.IvfIndex.build(rows, "v", 2, f"file://{tmp_path}/ix")
+    got = index.search_many(asked, "vec_id", "v", 4, 2, "vec_id", 5).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(i, i) for i in (1, 2, 3, 4)]
+    axis = spark.createDataFrame([(0, [1.0, 0.0]), *[(i, [2 + i * 1e-9, 0.0]) for i in range(1, 9)]], "vec_id long, v array<double>")
+    got = knn.exact_many(axis, "v", axis.where("vec_id = 0"), "vec_id", "v", 3, "vec_id", "inner_product", 6).collect()
+    assert sorted((r["rank"], r["vec_id"], r["distance"]) for r in got) == [(i, i, 2.0) for i in (1, 2, 3)]
