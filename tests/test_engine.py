@@ -1,5 +1,7 @@
 """Statements on small tables with results reasoned by hand."""
 
+import re
+
 import pytest
 
 from tessera.operators import joins
@@ -308,3 +310,35 @@ def test_streaming_ingest(engine, spark, tmp_path):
         f.unlink()
     follow(spark, engine.catalog, "s", f"file://{tmp_path}/in", f"file://{tmp_path}/cp").awaitTermination()
     assert lines(engine, "select * from s") == ["1 | a", "2 | b"]
+
+
+def test_not_in_joins_by_key(engine):
+    """Correlated NOT IN is joined by the compared columns, and nulls on either side count as in NOT IN."""
+    ok(engine, "create table o(k int, cust int null)", "create table c(id int null, nat int)", "create table n(nk int, reg int)",
+       "insert into n values (0,0),(1,1),(2,2)", "insert into c values (1,0),(2,1),(3,1),(4,2)", "insert into o values (0,1),(1,1),(2,2),(3,2),(4,3),(5,4),(6,9)")
+    one = "select k from o where cust not in (select id from c where nat = o.k % 3)"
+    two = "select k from o where cust not in (select c.id from c where c.nat in (select n.nk from n where n.reg = o.k % 3))"
+    either = "select k from o where k > 100 or cust not in (select id from c where nat = k % 3) order by k"
+
+    def brute(orders, customers):
+        out = []
+        for k, cust in orders:
+            seen = [i for i, nat in customers if nat == k % 3]
+            if not seen or (cust is not None and None not in seen and cust not in seen):
+                out.append(str(k))
+        return sorted(out)
+
+    orders, customers = [(0, 1), (1, 1), (2, 2), (3, 2), (4, 3), (5, 4), (6, 9)], [(1, 0), (2, 1), (3, 1), (4, 2)]
+    for sql in (one, two, either):
+        plan = engine.execute("explain " + sql).text()
+        assert re.search(r"Join.*\[[^\]]*cust#", plan) and "isnull" not in plan.split("== Physical Plan ==")[1], plan
+        assert lines(engine, sql) == brute(orders, customers) == ["1", "2", "3", "6"]
+    for change, rows, row in (("insert into o values (7,null),(8,null)", orders, [(7, None), (8, None)]), ("insert into c values (null,2)", customers, [(None, 2)]), ("delete from c where nat = 1", None, None)):
+        ok(engine, change)
+        if rows is None:
+            customers = [c for c in customers if c[1] != 1]
+        else:
+            rows += row
+        for sql in (one, two, either):
+            assert lines(engine, sql) == brute(orders, customers), (change, sql)
+    assert lines(engine, "select k from o where not cust not in (select id from c where nat = o.k % 3)") == ["0", "5"]
