@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,9 @@ def stash(df: DataFrame, name: str, batch_rows: int = 2000) -> DataFrame:
 
     Arrow batches to and from Python hold at most ``batch_rows`` rows meanwhile.  The files stay
     until ``release`` or until the folder is cleaned.
+
+    The driver is then rid of what its plans and tasks left: with many tasks a stage the heap else grows to its
+    limit on garbage, beside about as much memory outside it, though little of either is in use.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -42,6 +46,8 @@ def stash(df: DataFrame, name: str, batch_rows: int = 2000) -> DataFrame:
         spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed = path
+    gc.collect()
+    spark._jvm.System.gc()
     return out
 
 

@@ -500,6 +500,16 @@ def test_automaton_finds_first_documents():
             seen.setdefault(tuple(w[k : k + 4]), d)
 
 
+def test_stash_leaves_no_garbage_on_the_driver(spark):
+    from tessera.llm.common import release, stash
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    before = full()
+    release(stash(spark.range(3), "garbage"))
+    assert full() > before
+
+
 def test_url_rules(spark):
     from tessera.llm.urlrules import GIVEN, judge, mine
 
