@@ -18,7 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,21 +32,41 @@ TOKENIZER = "word_bpe_49k.json"
 PIECES = "struct<doc_tokens:long,pieces:array<struct<start:long,length:long,ids_crc32:long>>>"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+#: ASCII punctuation.
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: Letters that are one code point, stay one when lower-cased, and cannot compose with a neighbour here.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\\[-`{-~]*)")
 
 
+class Kept(dict):
+    """What ``find`` gives for a key, in two generations of ``limit`` keys; the older one goes when the newer is full."""
+
+    def __init__(self, find: Callable, limit: int):
+        self.find, self.limit, self.old = find, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
     ``TOKENIZER`` drops white space and never merges across it, so a text's ids
     are those of its words in order; words are kept in two generations of a
     bounded cache.  Plain words (Latin letters, then ASCII punctuation) skip the
-    pattern matching of the pre-tokenizer: they are exactly two of its pieces.
+    pattern matching of the pre-tokenizer: they are exactly two of its pieces, and the
+    pieces, which many words share in lower case, are kept in such a cache too.
     Other tokenizers encode each text as a whole.
     """
 
-    LIMIT = 60_000
+    LIMIT, PIECE_LIMIT = 30_000, 60_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -54,52 +74,39 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.by_word = os.path.basename(path) == TOKENIZER
         self.model = self.whole.model
-        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {k: bytes_of.pre_tokenize_str(chr(k))[0][0] for k in range(0xC0, 0x100) if chr(k).isalpha()}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
+        self.words = Kept(self.word, self.LIMIT)
+        self.pieces = Kept(self.piece, self.PIECE_LIMIT)
 
     def _pack(self, ids: list[int]) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
+    def piece(self, text: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(text if text.isascii() else text.translate(self.spelled))])
+
     def word(self, raw: bytes) -> bytes:
-        text = raw.decode()
-        m = _PLAIN.fullmatch(text)
-        if m is None:
-            return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-        ids: list[int] = []
-        letters, marks = m.groups()
-        if letters:
-            letters = letters.lower()
-            if not letters.isascii():
-                letters = self.bytes_of.pre_tokenize_str(letters)[0][0]
-            ids += [t.id for t in self.model.tokenize(letters)]
-        if marks:
-            ids += [t.id for t in self.model.tokenize(marks)]
-        return self._pack(ids)
+        letters = raw.rstrip(_MARKS)
+        marks = raw[len(letters) :].decode()
+        if letters.isalpha():  # ASCII alone
+            letters = letters.lower().decode()
+        elif letters:
+            text = raw.decode()
+            m = _PLAIN.fullmatch(text)
+            if m is None:
+                return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
+            letters = m[1].lower()
+        if not marks:
+            return self.pieces[letters]
+        return self.pieces[letters] + self.pieces[marks] if letters else self.pieces[marks]
 
     def text(self, text: str) -> bytes:
         if not self.by_word:
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-        words = text.encode().split()  # bytes split at ASCII white space only
-        got = list(map(self.new.get, words))
-        if None in got:
-            at = -1
-            try:
-                while True:
-                    at = got.index(None, at + 1)
-                    w = words[at]
-                    ids = self.new.get(w)
-                    if ids is None:
-                        ids = self.old.get(w)
-                        if ids is None:
-                            ids = self.word(w)
-                        self.new[w] = ids
-                    got[at] = ids
-            except ValueError:
-                pass
-            if len(self.new) > self.LIMIT:
-                self.old, self.new = self.new, {}
-        return b"".join(got)
+        # Bytes are split at ASCII white space only.
+        return b"".join(map(self.words.__getitem__, text.encode().split()))
 
 
 _encoders: dict[str, Encoder] = {}

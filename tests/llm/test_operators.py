@@ -417,6 +417,30 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(own.text(text or ""), "<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_asks_once_for_each_piece(monkeypatch):
+    """Words that differ in case and punctuation share their pieces, also after words have left the cache."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm.packing import Encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, asked = Tokenizer.from_file(path), []
+    monkeypatch.setattr(Encoder, "LIMIT", 3)
+    own = Encoder(path)
+
+    class Model:
+        def tokenize(self, text):
+            asked.append(text)
+            return whole.model.tokenize(text)
+
+    own.model = Model()
+    text = "grün Grün GRÜN grün, Grün. house House HOUSE, house. , . house"
+    for _ in range(3):
+        assert np.frombuffer(own.text(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) == 4
+
+
 def test_packing(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
