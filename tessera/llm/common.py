@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Seconds from one ``tidy_executors`` of ``stash`` to the next, at least.
+TIDY_EVERY = 5.0
+_tidied = 0.0
+
+
+def tidy_executors(spark: SparkSession) -> None:
+    """A full collection in each executor, by a task on each core: heap that grew on garbage goes back to the system."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')").alias("gc"))
+    rows.write.format("noop").mode("overwrite").save()
+
+
 def stash(df: DataFrame, name: str, batch_rows: int = 2000) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -33,8 +46,10 @@ def stash(df: DataFrame, name: str, batch_rows: int = 2000) -> DataFrame:
     until ``release`` or until the folder is cleaned.
 
     The driver is then rid of what its plans and tasks left: with many tasks a stage the heap else grows to its
-    limit on garbage, beside about as much memory outside it, though little of either is in use.
+    limit on garbage, beside about as much memory outside it, though little of either is in use.  Executors are too,
+    every few seconds: no task of this table runs then.
     """
+    global _tidied
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -48,6 +63,10 @@ def stash(df: DataFrame, name: str, batch_rows: int = 2000) -> DataFrame:
     out._stashed = path
     gc.collect()
     spark._jvm.System.gc()
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local" and time.monotonic() - _tidied >= TIDY_EVERY:
+        tidy_executors(spark)
+        _tidied = time.monotonic()
     return out
 
 

@@ -534,6 +534,34 @@ def test_stash_leaves_no_garbage_on_the_driver(spark):
     assert full() > before
 
 
+def test_executors_give_memory_back(spark):
+    from tessera.llm.common import tidy_executors
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    before = full()
+    tidy_executors(spark)
+    assert full() > before
+
+
+def test_texts_of_a_batch_are_handled_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessera.llm import textops as tx
+
+    batch = pa.RecordBatch.from_pydict({"t": ["some words of a text " * 200] * 2000})  # 8 MB
+    tx._powers.clear()
+    tracemalloc.start()
+    try:
+        for part in tx.chunks(batch, "t"):
+            tx.shingle_sets(tx.words(tx.text_batch(part.column("t"))))
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_url_rules(spark):
     from tessera.llm.urlrules import GIVEN, judge, mine
 
