@@ -32,14 +32,19 @@ TOKENIZER = "word_bpe_49k.json"
 PIECES = "struct<doc_tokens:long,pieces:array<struct<start:long,length:long,ids_crc32:long>>>"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: ASCII punctuation.
-_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-#: Letters that are one code point, stay one when lower-cased, and cannot compose with a neighbour here.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\\[-`{-~]*)")
+#: A character that is not plain.  Plain ones are ASCII white space, letters, digits and punctuation, and Latin letters that
+#: are one code point, stay one when lower-cased, and cannot compose with a neighbour here.
+_ODD = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
+#: The pieces of ``TOKENIZER`` in plain text in lower case.
+_PIECE = re.compile("[a-zß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[!-/:-@\\[-`{-~]+")
 
 
 class Kept(dict):
-    """What ``find`` gives for a key, in two generations of ``limit`` keys; the older one goes when the newer is full."""
+    """What ``find`` gives for a key, in two generations of ``limit`` keys; the older one goes when the newer is full.
+
+    Keys over ``LONG`` are asked for each time, so that memory is bounded."""
+
+    LONG = 100
 
     def __init__(self, find: Callable, limit: int):
         self.find, self.limit, self.old = find, limit, {}
@@ -48,6 +53,8 @@ class Kept(dict):
         value = self.old.get(key)
         if value is None:
             value = self.find(key)
+            if len(key) > self.LONG:
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -58,15 +65,18 @@ class Kept(dict):
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    ``TOKENIZER`` drops white space and never merges across it, so a text's ids
-    are those of its words in order; words are kept in two generations of a
-    bounded cache.  Plain words (Latin letters, then ASCII punctuation) skip the
-    pattern matching of the pre-tokenizer: they are exactly two of its pieces, and the
-    pieces, which many words share in lower case, are kept in such a cache too.
+    ``TOKENIZER`` drops white space and never merges across its pieces.  Plain texts
+    skip its normalizer and pre-tokenizer: one pattern finds the pieces, whose ids are
+    kept in two generations of a bounded cache.  In a text with odd characters or with
+    what may be a special token this is done for each word, as ids of a text are those
+    of its words in order; words are kept in such a cache too, and one that is not
+    plain itself is encoded by the tokenizer.
     Other tokenizers encode each text as a whole.
     """
 
-    LIMIT, PIECE_LIMIT = 30_000, 60_000
+    LIMIT, PIECE_LIMIT = 30_000, 150_000
+    #: Characters of a plain text that are cut into pieces at once, and those up to the next space.
+    STEP = 1 << 16
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -87,26 +97,31 @@ class Encoder:
         packed = self.packed
         return b"".join([packed[t.id] for t in self.model.tokenize(text if text.isascii() else text.translate(self.spelled))])
 
+    def plain(self, text: str) -> bytes | None:
+        """The ids of a plain text; None of another."""
+        if _ODD.search(text) or "<|" in text:
+            return None
+        low, at, out = text.lower(), 0, []
+        while at < len(low):
+            to = low.find(" ", at + self.STEP)
+            to = len(low) if to < 0 else to
+            out.append(b"".join(map(self.pieces.__getitem__, _PIECE.findall(low, at, to))))
+            at = to
+        return b"".join(out)
+
     def word(self, raw: bytes) -> bytes:
-        letters = raw.rstrip(_MARKS)
-        marks = raw[len(letters) :].decode()
-        if letters.isalpha():  # ASCII alone
-            letters = letters.lower().decode()
-        elif letters:
-            text = raw.decode()
-            m = _PLAIN.fullmatch(text)
-            if m is None:
-                return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-            letters = m[1].lower()
-        if not marks:
-            return self.pieces[letters]
-        return self.pieces[letters] + self.pieces[marks] if letters else self.pieces[marks]
+        if raw.isalpha():  # ASCII alone
+            return self.pieces[raw.lower().decode()]
+        text = raw.decode()
+        ids = self.plain(text)
+        return self._pack(self.whole.encode(text, add_special_tokens=False).ids) if ids is None else ids
 
     def text(self, text: str) -> bytes:
         if not self.by_word:
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
+        ids = self.plain(text)
         # Bytes are split at ASCII white space only.
-        return b"".join(map(self.words.__getitem__, text.encode().split()))
+        return b"".join(map(self.words.__getitem__, text.encode().split())) if ids is None else ids
 
 
 _encoders: dict[str, Encoder] = {}

@@ -441,6 +441,35 @@ def test_encoder_asks_once_for_each_piece(monkeypatch):
     assert len(asked) == len(set(asked)) == 4
 
 
+def test_encoder_cuts_plain_texts_itself(monkeypatch):
+    """Texts of ASCII and Latin letters do not go through the tokenizer's own normalizer, nor word by word, in one step or in many."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm.packing import Encoder, Kept
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, rng = Tokenizer.from_file(path), random.Random(3)
+    parts = ["Don't", "'S", "'re", "''ve", "it'LLs", "'", "42", "a1b2", "Éß", "ÿÀ", "x-y_z", "<", "|>", "{}~", "!'d", " ", "\n", "\t\x0b", "\x0c\r", "...", "z" * 300]
+    texts = ["", " ", *("".join(rng.choices(parts, k=rng.randint(1, 60))).replace("<|", "<") for _ in range(300))]
+    odd = ["<|endoftext|>", "a<|endoftext|>b 'll", "é e\u0301 x", "a×b ÷", "a\x1cb\x7f", "“don't” 12"]
+
+    class Whole:
+        def encode(self, text, **kwargs):
+            raise AssertionError(text)
+
+    for step in (1, 7, 1 << 16):
+        if hasattr(Encoder, "STEP"):
+            monkeypatch.setattr(Encoder, "STEP", step)
+        own = Encoder(path)
+        for text in odd + [x + " " + y for x in texts[:20] for y in odd]:
+            assert np.frombuffer(own.text(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        own.whole, own.words = Whole(), None
+        for text in texts:
+            assert np.frombuffer(own.text(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert all(len(x) <= Kept.LONG for x in own.pieces)
+
+
 def test_packing(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
